@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ("words",)
+FAMILIES = ("words", "social", "web")
 
 
 def _modules():
