@@ -30,20 +30,24 @@ def skew_join(
     how: str = "inner",
     weights: DataFrame | None = None,
     weight: str = "count",
+    heavy: DataFrame | None = None,
     salts: int = SALTS,
     min_rows: int = MIN_HEAVY_ROWS,
 ) -> DataFrame:
     """Join on equal keys; rows of a heavy left key are spread over ``salts`` tasks, its right rows are copied to each.
 
-    ``weights`` (keys plus left row count) saves the counting pass over ``left`` when the caller has it already. The
-    salt is a hash of the row, so a task that is run again puts every row where it was before.
+    ``weights`` (keys plus left row count) saves the counting pass over ``left`` when the caller has it already, and
+    ``heavy`` is the result of ``heavy_keys`` itself. The salt is a hash of the row, so a task that is run again puts
+    every row where it was before.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
     on = list(on)
-    if weights is None:
-        weights, weight = left.groupBy(*on).count(), "count"
-    heavy = F.broadcast(heavy_keys(weights, on, weight, min_rows).withColumn("_heavy", F.lit(True)))
+    if heavy is None:
+        if weights is None:
+            weights, weight = left.groupBy(*on).count(), "count"
+        heavy = heavy_keys(weights, on, weight, min_rows)
+    heavy = F.broadcast(heavy.withColumn("_heavy", F.lit(True)))
     spread = left.join(heavy, on, "left").withColumn(
         "_salt", F.when(F.col("_heavy"), F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")).otherwise(0)
     )

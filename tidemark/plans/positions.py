@@ -12,6 +12,7 @@ from tidemark.session import scratch_path
 from tidemark.sources import genomic, sinks
 
 CONTIGS = 25
+NARROW = 20_000
 GROUPS = 8
 
 
@@ -99,8 +100,8 @@ def bin_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return density.bin_counts(_lineitem(spark, sf_dir))
 
 
-def _density(spark: SparkSession, sf_dir: str, keep_empty: bool = False) -> DataFrame:
-    return density.bin_density(bin_grid(spark, sf_dir), bin_counts(spark, sf_dir), keep_empty)
+def _density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return density.bin_density(bin_grid(spark, sf_dir), bin_counts(spark, sf_dir))
 
 
 def bin_density(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +109,9 @@ def bin_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bin_density_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _density(spark, sf_dir, keep_empty=True).orderBy("idx", "bin")
+    grid = density.bin_grid(_contigs(spark, sf_dir), NARROW)
+    counts = density.bin_counts(_lineitem(spark, sf_dir), NARROW)
+    return density.bin_density(grid, counts, keep_empty=True).orderBy("idx", "bin")
 
 
 def density_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -332,8 +335,10 @@ FROM supplier WHERE s_nationkey <> 7
     "bin_counts": f"WITH {_DENSITY} SELECT contig, bin, n FROM counts",
     "bin_density": f"WITH {_DENSITY} SELECT contig, idx, bin, n FROM density",
     "bin_density_all": f"""
-WITH {_DENSITY}
-SELECT contig, idx, bin, coalesce(n, 0) AS n FROM grid LEFT JOIN counts USING (contig, bin)
+WITH {_ITEMS},
+narrow AS (SELECT idx, contig, unnest(generate_series(1, length // {NARROW} + 1)) AS bin FROM contigs),
+counts AS (SELECT contig, pos // {NARROW} + 1 AS bin, count(*) AS n FROM items GROUP BY ALL)
+SELECT contig, idx, bin, coalesce(n, 0) AS n FROM narrow LEFT JOIN counts USING (contig, bin)
 """,
     "density_roundtrip": f"WITH {_DENSITY} SELECT contig, idx, bin, n FROM density",
     "sam_reads": f"""
