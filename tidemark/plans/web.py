@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import phones
 from tidemark.plans.tables import table
+from tidemark.session import scratch_path
+from tidemark.sources import archives
+from tidemark.sources.text import read_manifest
 
 URLS_PER_ROW = 20
 
@@ -48,7 +51,39 @@ def phone_extract_us(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phones.extract_phones(texts, "text", "origin", "id", country="1", digits=10)
 
 
-QUERIES = {f.__name__: f for f in (phone_extract, phone_index, phone_extract_us)}
+def _archives(pages: DataFrame) -> DataFrame:
+    """Manifest of packed archives written from the pages: an HTTP response and a record without target for each."""
+    spark = pages.sparkSession
+    folder, manifest = scratch_path(spark, "archives"), scratch_path(spark, "manifest")
+    block = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"), "html")
+    record = F.concat(
+        F.lit("WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 5\r\n\r\nabout\r\n\r\n"),
+        F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: "),
+        "url",
+        F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "),
+        F.octet_length(block).cast("string"),
+        F.lit("\r\n\r\n"),
+        block,
+    )
+    written = pages.repartition(8, "url").select(record.alias("value"))
+    written.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("path")
+    files.write.text(manifest)
+    return read_manifest(spark, manifest)
+
+
+def warc_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = archives.scan_warc(_archives(table(spark, sf_dir, "pages")))
+    return found.select("target_uri", "payload")
+
+
+def warc_phone_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From archives to the phone index."""
+    found = phones.extract_phones(archives.scan_warc(_archives(_dutch_pages(spark, sf_dir))), "payload", "target_uri")
+    return phones.phone_index(found, "target_uri", URLS_PER_ROW)
+
+
+QUERIES = {f.__name__: f for f in (phone_extract, phone_index, phone_extract_us, warc_scan, warc_phone_index)}
 
 
 def _numbers(country: str, digits: int) -> str:
@@ -68,14 +103,18 @@ texts AS (
 )
 """
 
-ORACLES = {
-    "phone_extract": f"WITH {_PAGES} SELECT url, unnest({_numbers('31', 9)}) AS num FROM texts",
-    "phone_index": f"""
+_INDEX = f"""
 WITH {_PAGES}, found AS (SELECT url, unnest({_numbers('31', 9)}) AS num FROM texts),
 placed AS (SELECT *, row_number() OVER (PARTITION BY num ORDER BY url) AS pos FROM found)
 SELECT num, (pos - 1) // {URLS_PER_ROW} AS part, string_agg(url || chr(9), '' ORDER BY pos) AS urls
 FROM placed GROUP BY num, part
-""",
+"""
+
+ORACLES = {
+    "phone_extract": f"WITH {_PAGES} SELECT url, unnest({_numbers('31', 9)}) AS num FROM texts",
+    "phone_index": _INDEX,
+    "warc_phone_index": _INDEX,
+    "warc_scan": "SELECT url AS target_uri, html AS payload FROM pages",
     "phone_extract_us": f"""
 WITH texts AS (
   SELECT 'documents' AS origin, doc_id AS id, text FROM documents
