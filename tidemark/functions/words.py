@@ -18,22 +18,27 @@ def tokens(line: Column | str) -> Column:
     return F.split(F.rtrim(line), " ", -1)
 
 
+def strip_edges(token: Column | str) -> Column:
+    """Token without leading and trailing non-letters; marks inside stay (``don't``)."""
+    return F.regexp_replace(token, NON_LETTER_EDGES, "")
+
+
 def clean_word(token: Column | str) -> Column:
-    """Lower-case token without leading and trailing non-letters; marks inside stay (``don't``)."""
-    return F.regexp_replace(F.lower(token), NON_LETTER_EDGES, "")
+    """Lower-case token without leading and trailing non-letters."""
+    return strip_edges(F.lower(token))
 
 
-def has_word(token: Column | str) -> Column:
-    """Whether ``clean_word`` leaves anything."""
-    return F.lower(token).rlike(LETTER)
+def has_letter(token: Column | str) -> Column:
+    """Whether ``strip_edges`` leaves anything."""
+    return F.rlike(token, F.lit(LETTER))
 
 
 def starts_with_mark(token: Column | str) -> Column:
-    return F.lower(token).rlike(MARK_AT_START)
+    return F.rlike(token, F.lit(MARK_AT_START))
 
 
 def ends_with_mark(token: Column | str) -> Column:
-    return F.lower(token).rlike(MARK_AT_END)
+    return F.rlike(token, F.lit(MARK_AT_END))
 
 
 def edge_flags(token: Column | str) -> Column:

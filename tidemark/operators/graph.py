@@ -21,6 +21,7 @@ MAX_DISTANCE = 6  # fixed value: distances that are reported
 
 def build_graph(casts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Vertices (id, name, is_male) and memberships (id, grp) from (actor, is_male, movie); ids run from 0."""
+    casts = materialise(casts, "casts")
     people = casts.select("actor", "is_male").distinct()
     numbered = ranked(people, [F.desc("is_male"), "actor"], name="id").withColumn("id", F.col("id") - 1)
     members = skew_join(casts, numbered, ["actor", "is_male"]).select("id", F.col("movie").alias("grp")).distinct()
@@ -60,10 +61,12 @@ def neighbours(members: DataFrame, people: DataFrame) -> DataFrame:
 class _Memberships:
     """Memberships with their heavy people and groups (at most a few hundred each), found once for all steps."""
 
-    def __init__(self, members: DataFrame, kept: bool = False):
-        members = members.select("id", "grp")
-        self.members = materialise(members.distinct(), "members") if kept else members.distinct()
-        self.heavy = {key: materialise(heavy_keys(self.members.groupBy(key).count(), [key], "count"), f"heavy-{key}") for key in ("id", "grp")}
+    def __init__(self, members: DataFrame):
+        self.members = materialise(members.select("id", "grp").distinct(), "members")
+        self.heavy = {
+            key: materialise(heavy_keys(self.members.groupBy(key).count(), [key], "count"), f"heavy-{key}")
+            for key in ("id", "grp")
+        }
         self.crowded = {key: not table.isEmpty() for key, table in self.heavy.items()}
 
     def _having(self, keys: DataFrame, key: str) -> DataFrame:
@@ -84,7 +87,7 @@ def shortest_hops(members: DataFrame, source, max_hops: int | None = None) -> Da
     """
     spark = members.sparkSession
     shared = cooccurrence_edges(members).select(F.col("src").alias("id"), F.col("via").alias("grp"))
-    graph = _Memberships(shared, kept=True)
+    graph = _Memberships(shared)
     root = scratch_path(spark, "hops")
     schema = members.select("id").schema
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.skew import lookup_join
+from tidemark.session import materialise
 
 PROFILE_SIZE = 1000  # trigrams kept per language
 MAX_LANGUAGES = 1000  # languages told apart in one run; each is a few columns of the plan
@@ -50,6 +51,7 @@ def detect_lang(df: DataFrame, key: str, text: str | Column, profiles: DataFrame
     table is at most PROFILE_SIZE rows per language and is counted before it is broadcast. Only one row per language
     (its totals) reaches the driver. NULL where the text has no letters.
     """
+    profiles = materialise(profiles, "profiles")  # read three times below
     totals = profiles.groupBy("lang").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.col("n")).alias("squares"))
     known = totals.orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
     if len(known) > MAX_LANGUAGES:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.words import clean_word, ends_with_mark, has_word, starts_with_mark, tokens
+from tidemark.functions.words import ends_with_mark, has_letter, starts_with_mark, strip_edges, tokens
 from tidemark.operators.skew import skew_join
 
 
@@ -15,7 +15,7 @@ def text_lines(df: DataFrame, text: str) -> DataFrame:
 
 
 def _neighbours(lines: DataFrame, line: str = "value") -> DataFrame:
-    """Each token next to the one before it; NULL stands for the start and for the end of the line."""
+    """Each lower-case token next to the one before it; NULL stands for the start and for the end of the line."""
     edge = F.lit(None).cast("string")
     padded = lines.select(tokens(F.lower(line)).alias("tokens"))
     pairs = padded.select(
@@ -28,8 +28,8 @@ def _neighbours(lines: DataFrame, line: str = "value") -> DataFrame:
     )
     # a pair counts if both its tokens hold a word (the ends of the line count as words)
     return pairs.filter(
-        F.coalesce(has_word("left"), F.lit(True))
-        & F.coalesce(has_word("right"), F.lit(True))
+        F.coalesce(has_letter("left"), F.lit(True))
+        & F.coalesce(has_letter("right"), F.lit(True))
         & (F.col("left").isNotNull() | F.col("right").isNotNull())
     )
 
@@ -40,10 +40,10 @@ def bigrams(lines: DataFrame, line: str = "value") -> DataFrame:
     ``first`` is NULL at the start of a line and ``second`` is NULL at its end.
     """
     return _neighbours(lines, line).select(
-        clean_word("left").alias("first"),
+        strip_edges("left").alias("first"),
         starts_with_mark("left").alias("first_starts"),
         ends_with_mark("left").alias("first_ends"),
-        clean_word("right").alias("second"),
+        strip_edges("right").alias("second"),
         starts_with_mark("right").alias("second_starts"),
         ends_with_mark("right").alias("second_ends"),
     )
@@ -54,7 +54,7 @@ def word_counts(lines: DataFrame, line: str = "value") -> DataFrame:
     return (
         _neighbours(lines, line)
         .filter(F.col("left").isNotNull())
-        .groupBy(clean_word("left").alias("word"))
+        .groupBy(strip_edges("left").alias("word"))
         .agg(F.count("*").alias("n"))
     )
 
@@ -62,7 +62,7 @@ def word_counts(lines: DataFrame, line: str = "value") -> DataFrame:
 def _predecessor():
     """The left word, or '' where a line start or a mark between the two words hides it."""
     hidden = F.col("left").isNull() | ends_with_mark("left") | starts_with_mark("right")
-    return F.when(hidden, F.lit("")).otherwise(clean_word("left"))
+    return F.when(hidden, F.lit("")).otherwise(strip_edges("left"))
 
 
 def word_predecessors(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -71,7 +71,7 @@ def word_predecessors(lines: DataFrame, line: str = "value") -> DataFrame:
         _neighbours(lines, line)
         .filter(F.col("left").isNotNull() & F.col("right").isNotNull())
         .filter(~ends_with_mark("left") & ~starts_with_mark("right"))
-        .groupBy(clean_word("right").alias("word"), clean_word("left").alias("pred"))
+        .groupBy(strip_edges("right").alias("word"), strip_edges("left").alias("pred"))
         .agg(F.count("*").alias("n"))
     )
 
@@ -86,8 +86,8 @@ def word_freq_report(lines: DataFrame, line: str = "value") -> DataFrame:
     said = _neighbours(lines, line).select(
         F.explode(
             F.array(
-                F.struct(clean_word("left").alias("word"), F.lit(None).cast("string").alias("pred")),
-                F.struct(clean_word("right").alias("word"), _predecessor().alias("pred")),
+                F.struct(strip_edges("left").alias("word"), F.lit(None).cast("string").alias("pred")),
+                F.struct(strip_edges("right").alias("word"), _predecessor().alias("pred")),
             )
         ).alias("s")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.alignments import bad_quality, fix_quality
 from tidemark.operators import blocks, density, intervals, variants
 from tidemark.plans.tables import table
-from tidemark.session import scratch_path
+from tidemark.session import scratch_path, spread_small
 from tidemark.sources import genomic, sinks
 
 CONTIGS = 25
@@ -18,7 +18,7 @@ GROUPS = 8
 
 def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     idx = F.col("l_suppkey") % CONTIGS
-    return table(spark, sf_dir, "lineitem").withColumns(
+    return spread_small(table(spark, sf_dir, "lineitem")).withColumns(
         {
             "idx": idx,
             "contig": F.concat(F.lit("chr"), idx.cast("string")),
@@ -64,7 +64,10 @@ def _sam_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.mapped_reads(genomic.parse_sam(_sam_lines(spark, sf_dir)), _contigs(spark, sf_dir))
+    """Mapped reads of an alignment text written from the table."""
+    path = scratch_path(spark, "sam")
+    _sam_lines(spark, sf_dir).write.text(path)
+    return blocks.mapped_reads(genomic.read_sam(spark, path), _contigs(spark, sf_dir))
 
 
 def _vcf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,7 +216,9 @@ def region_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vcf_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return variants.sorted_variants(genomic.parse_vcf(_vcf_lines(spark, sf_dir)))
+    path = scratch_path(spark, "vcf")
+    _vcf_lines(spark, sf_dir).select("value").write.text(path)
+    return variants.sorted_variants(genomic.read_vcf(spark, path))
 
 
 def _two_callers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators import words
 from tidemark.plans.tables import table
+from tidemark.session import spread_small
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return words.text_lines(table(spark, sf_dir, "documents"), "text")
+    return words.text_lines(spread_small(table(spark, sf_dir, "documents")), "text")
 
 
 def word_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,6 +41,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Give every core a part of a small input to heavy work on each row: a file of one row group is one task.
+
+    An input with a full split (``spark.sql.files.maxPartitionBytes``) or more per core is left where it is.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = df._jdf.sparkSession().sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * split else df
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to shared storage and return the written table (columnar, with sizes the planner can use)."""
     path = scratch_path(df.sparkSession, label)

@@ -14,10 +14,18 @@ def _field(i: int, fields: str = "f") -> Column:
     return F.get(fields, F.lit(i))
 
 
+# No header line, eleven fields at least, numbers where the flag and the position stand.
+_SAM_RECORD = r"^(?!@)[^\t]*\t\d+\t[^\t]*\t\d+(?:\t[^\t]*){7}"
+_VCF_SKIPPED = r"^(?:#|\s*$)"
+
+
 def parse_sam(lines: DataFrame) -> DataFrame:
-    """Alignment records; header lines and lines that are no record are skipped."""
-    fields = lines.filter(~F.col("value").startswith("@")).select(F.split("value", "\t").alias("f"))
-    reads = fields.filter(F.size("f") >= 11).select(
+    """Alignment records; header lines and lines that are no record are skipped.
+
+    One test of the whole line decides, so that the fields are split once, after it.
+    """
+    fields = lines.filter(F.col("value").rlike(_SAM_RECORD)).select(F.split("value", "\t").alias("f"))
+    return fields.select(
         _field(0).alias("qname"),
         _field(1).try_cast("int").alias("flag"),
         _field(2).alias("contig"),
@@ -31,7 +39,6 @@ def parse_sam(lines: DataFrame) -> DataFrame:
         _field(10).alias("qual"),
         F.slice("f", F.lit(12), F.size("f")).alias("tags"),
     )
-    return reads.filter(F.col("flag").isNotNull() & F.col("pos").isNotNull())
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
@@ -69,7 +76,7 @@ def read_dict(spark: SparkSession, path: str, all_contigs: bool = False) -> Data
 
 def parse_vcf(lines: DataFrame) -> DataFrame:
     """(chrom, pos, id, ref, alt, line): variant lines; comments and blank lines are skipped."""
-    body = lines.filter(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    body = lines.filter(~F.col("value").rlike(_VCF_SKIPPED))
     return body.select("value", F.split("value", "\t").alias("f")).select(
         _field(0).alias("chrom"),
         _field(1).try_cast("long").alias("pos"),
