@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import materialise
+
 HEAVY_LIMIT = 256  # a key with more than 1/256 of all rows is always among the 256 largest
 SALTS = 32
 MIN_HEAVY_ROWS = 200_000  # smaller groups are no burden for one task
@@ -60,7 +62,11 @@ def skew_join(
 def lookup_join(
     left: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner", small_rows: int = SMALL_ROWS
 ) -> DataFrame:
-    """Join a large side with a lookup table: broadcast if it was counted to be small, else ``skew_join``."""
-    if table.limit(small_rows + 1).count() <= small_rows:
+    """Join a large side with a lookup table: broadcast if it was counted to be small, else ``skew_join``.
+
+    The table is written first, so it is computed once and its count comes from the file footers.
+    """
+    table = materialise(table, "lookup")
+    if table.count() <= small_rows:
         return left.join(F.broadcast(table), list(on), how)
     return skew_join(left, table, on, how)
