@@ -61,8 +61,9 @@ def block_slices(
 ) -> DataFrame:
     """Add ``rank`` (of the read in its contig, by position) and ``block``: so many reads per block as an average
     block should have, the last block taking what is left. Contigs with less than a read per bin are one block."""
-    sizes = contig_blocks(read_counts(reads), contigs, width, bins).select("idx", "blocks", "avg")
-    placed = lookup_join(ranked(reads, list(order), keys=["idx"]), sizes, ["idx"])
+    numbered = ranked(reads, list(order), keys=["idx"])
+    sizes = contig_blocks(read_counts(numbered), contigs, width, bins).select("idx", "blocks", "avg")
+    placed = lookup_join(numbered, sizes, ["idx"])
     nth = F.when(F.col("avg") > 0, div(F.col("rank") - 1, F.col("avg") * bins))
     return placed.withColumn("block", F.coalesce(F.least(nth, F.col("blocks") - 1), F.col("blocks") - 1) + 1).drop(
         "blocks", "avg"

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.positions import div
 from tidemark.operators.ordering import ranked
-from tidemark.operators.skew import heavy_keys, skew_join
-from tidemark.session import materialise, scratch_path
+from tidemark.operators.skew import SALT, copy_heavy, heavy_keys, skew_join, spread_heavy
+from tidemark.session import bucketed, materialise, scratch_path
 
 MAX_DISTANCE = 6  # fixed value: distances that are reported
 
@@ -53,56 +53,57 @@ def cooccurrence_degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").alias("id")).agg(F.sum("others").alias("edges"))
 
 
-def neighbours(members: DataFrame, people: DataFrame) -> DataFrame:
-    """(id): everyone who shares a group with one of ``people`` (distinct ids), those included."""
-    return _Memberships(members).step(people)
-
+def _step(by_id: DataFrame, by_grp: DataFrame, people: DataFrame, heavy: dict[str, DataFrame | None]) -> DataFrame:
+    """People to their groups to the people in them; the memberships come salted for both joins."""
+    chosen = copy_heavy(people, ["id"], heavy["id"])
+    groups = by_id.join(chosen, ["id", SALT], "left_semi").select("grp").distinct()
+    wanted = copy_heavy(groups, ["grp"], heavy["grp"])
+    return by_grp.join(wanted, ["grp", SALT], "left_semi").select("id").distinct()
 
-class _Memberships:
-    """Memberships with their heavy people and groups (at most a few hundred each), found once for all steps."""
 
-    def __init__(self, members: DataFrame):
-        self.members = materialise(members.select("id", "grp").distinct(), "members")
-        self.heavy = {
-            key: materialise(heavy_keys(self.members.groupBy(key).count(), [key], "count"), f"heavy-{key}")
-            for key in ("id", "grp")
-        }
-        self.crowded = {key: not table.isEmpty() for key, table in self.heavy.items()}
+def _salted(members: DataFrame) -> tuple[dict[str, DataFrame], dict[str, DataFrame | None]]:
+    """Memberships salted by person and by group, and the heavy people and groups: a few hundred at most (None if there
+    are none), kept as small tables because every step reads them."""
+    heavy = {}
+    for key in ("id", "grp"):
+        kept = materialise(heavy_keys(members.groupBy(key).count(), [key], "count"), f"heavy-{key}")
+        heavy[key] = None if kept.isEmpty() else kept
+    return {key: spread_heavy(members, [key], heavy[key]) for key in heavy}, heavy
 
-    def _having(self, keys: DataFrame, key: str) -> DataFrame:
-        if self.crowded[key]:
-            return skew_join(self.members, keys, [key], "left_semi", heavy=self.heavy[key])
-        return self.members.join(keys, [key], "left_semi")
 
-    def step(self, people: DataFrame) -> DataFrame:
-        groups = self._having(people, "id").select("grp").distinct()
-        return self._having(groups, "grp").select("id").distinct()
+def neighbours(members: DataFrame, people: DataFrame) -> DataFrame:
+    """(id): everyone who shares a group with one of ``people`` (distinct ids), those included."""
+    salted, heavy = _salted(materialise(members.select("id", "grp").distinct(), "members"))
+    return _step(salted["id"], salted["grp"], people, heavy)
 
 
 def shortest_hops(members: DataFrame, source, max_hops: int | None = None) -> DataFrame:
     """(id, distance): fewest steps from ``source`` to everyone it is connected with (itself: 0).
 
     Each round reads the people reached in the last one, steps to their neighbours, and writes those not seen before
-    as the table of its distance; no plan is longer than one round, and a lost executor costs one re-read.
+    as the table of its distance; no plan is longer than one round, and a lost executor costs one re-read. The
+    memberships are bucketed once by person and once by group, so that a round shuffles only what it found.
     """
     spark = members.sparkSession
     shared = cooccurrence_edges(members).select(F.col("src").alias("id"), F.col("via").alias("grp"))
-    graph = _Memberships(shared)
+    salted, heavy = _salted(materialise(shared, "members"))
     root = scratch_path(spark, "hops")
     schema = members.select("id").schema
 
     def reached(distance: int) -> str:
         return f"{root}/distance={distance}"
 
-    members.sparkSession.createDataFrame([(source,)], schema).write.parquet(reached(0))
-    for distance in count(1):
-        if max_hops is not None and distance > max_hops:
-            break
-        last = spark.read.schema(schema).parquet(reached(distance - 1))
-        seen = spark.read.schema(schema).parquet(*[reached(d) for d in range(distance)])
-        graph.step(last).join(seen, "id", "left_anti").write.parquet(reached(distance))
-        if spark.read.schema(schema).parquet(reached(distance)).isEmpty():
-            break
+    spark.createDataFrame([(source,)], schema).write.parquet(reached(0))
+    with bucketed(salted["id"], "by-id", "id", SALT) as by_id, bucketed(salted["grp"], "by-grp", "grp", SALT) as by_grp:
+        for distance in count(1):
+            if max_hops is not None and distance > max_hops:
+                break
+            last = spark.read.schema(schema).parquet(reached(distance - 1))
+            seen = spark.read.schema(schema).parquet(*[reached(d) for d in range(distance)])
+            found = _step(by_id, by_grp, last, heavy)
+            found.join(seen, "id", "left_anti").write.parquet(reached(distance))
+            if spark.read.schema(schema).parquet(reached(distance)).isEmpty():
+                break
     everyone = spark.read.schema(schema.add("distance", "long")).parquet(root)
     return everyone.select("id", "distance")
 

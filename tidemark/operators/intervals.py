@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.positions import bed_string, div, region_string
 from tidemark.operators.skew import skew_join
+from tidemark.session import materialise
 
 # Fixed value: reads this close to each other belong to one region.
 READ_GAP = 51
@@ -20,12 +21,14 @@ def _islands(spans: DataFrame, gap: int, slab: int) -> DataFrame:
     First only the longest interval of every start is kept, so that a slab of ``slab`` positions has at most that many
     rows, whatever the depth: that bounds every window below. An island opens where the start lies beyond the reach of
     all intervals before it; its end is the reach that the next island finds, or that of the whole contig. What a slab
-    needs to know of the slabs before and after it comes from one row per slab.
+    needs to know of the slabs before and after it comes from one row per slab. The reduced intervals are written once,
+    because both passes read them and the input should be read once.
     """
-    longest = (
+    longest = materialise(
         spans.groupBy("key", "start")
         .agg(F.max("end").alias("end"), F.min("contig").alias("contig"))
-        .withColumn("slab", F.floor(F.col("start") / slab))
+        .withColumn("slab", F.floor(F.col("start") / slab)),
+        "spans",
     )
     slabs = longest.groupBy("key", "slab").agg(F.max("end").alias("reach"))
     contig_slabs = Window.partitionBy("key").orderBy("slab")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.social import script_override, strip_social
 from tidemark.operators.skew import lookup_join
 from tidemark.session import materialise
 
@@ -80,5 +81,15 @@ def detect_lang(df: DataFrame, key: str, text: str | Column, profiles: DataFrame
     )
 
 
+def posts_in(
+    posts: DataFrame, key: str, text: str, profiles: DataFrame, langs: Sequence[str] = ("en", "no")
+) -> DataFrame:
+    """Posts in one of these languages, with ``lang``: guessed without mentions and links, corrected by script."""
+    cleaned = posts.select(key, strip_social(text).alias("cleaned"))
+    guessed = detect_lang(cleaned, key, "cleaned", profiles).join(cleaned, key)
+    judged = guessed.select(key, script_override("detected", "cleaned").alias("lang"))
+    return posts.join(keep_languages(judged, langs), key)
+
+
 def keep_languages(df: DataFrame, langs: Sequence[str] = ("en", "no"), lang: str = "lang") -> DataFrame:
     return df.filter(F.col(lang).isin(*langs))

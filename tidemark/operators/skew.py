@@ -11,6 +11,7 @@ from tidemark.session import materialise
 
 HEAVY_LIMIT = 256  # a key with more than 1/256 of all rows is always among the 256 largest
 SALTS = 32
+SALT = "_salt"
 MIN_HEAVY_ROWS = 200_000  # smaller groups are no burden for one task
 SMALL_ROWS = 500_000  # largest lookup table that is broadcast, checked by counting it
 
@@ -25,6 +26,27 @@ def heavy_keys(weights: DataFrame, on: Sequence[str], weight: str, min_rows: int
     )
 
 
+def _flagged(df: DataFrame, on: Sequence[str], heavy: DataFrame) -> DataFrame:
+    """Add ``_heavy``, TRUE on rows of heavy keys: a join with ``HEAVY_LIMIT`` rows at most."""
+    return df.join(F.broadcast(heavy.withColumn("_heavy", F.lit(True))), list(on), "left")
+
+
+def spread_heavy(df: DataFrame, on: Sequence[str], heavy: DataFrame | None, salts: int = SALTS) -> DataFrame:
+    """Add the salt column: a hash of the row for heavy keys, 0 for all others (all rows, if there is no heavy key)."""
+    if heavy is None:
+        return df.withColumn(SALT, F.lit(0))
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int")
+    return _flagged(df, on, heavy).withColumn(SALT, F.when(F.col("_heavy"), salt).otherwise(0)).drop("_heavy")
+
+
+def copy_heavy(df: DataFrame, on: Sequence[str], heavy: DataFrame | None, salts: int = SALTS) -> DataFrame:
+    """Add the salt column to the other side of the join: a row of a heavy key once for every salt."""
+    if heavy is None:
+        return df.withColumn(SALT, F.lit(0))
+    last = F.when(F.col("_heavy"), salts - 1).otherwise(0)
+    return _flagged(df, on, heavy).withColumn(SALT, F.explode(F.sequence(F.lit(0), last))).drop("_heavy")
+
+
 def skew_join(
     left: DataFrame,
     right: DataFrame,
@@ -49,14 +71,8 @@ def skew_join(
         if weights is None:
             weights, weight = left.groupBy(*on).count(), "count"
         heavy = heavy_keys(weights, on, weight, min_rows)
-    heavy = F.broadcast(heavy.withColumn("_heavy", F.lit(True)))
-    spread = left.join(heavy, on, "left").withColumn(
-        "_salt", F.when(F.col("_heavy"), F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")).otherwise(0)
-    )
-    copied = right.join(heavy, on, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("_heavy"), salts - 1).otherwise(0)))
-    )
-    return spread.drop("_heavy").join(copied.drop("_heavy"), [*on, "_salt"], how).drop("_salt")
+    spread, copied = spread_heavy(left, on, heavy, salts), copy_heavy(right, on, heavy, salts)
+    return spread.join(copied, [*on, SALT], how).drop(SALT)
 
 
 def lookup_join(

@@ -10,12 +10,15 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 _local_root: str | None = None
+_run_folders: dict[str, str] = {}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -36,9 +39,22 @@ def checkpoint_root(spark: SparkSession) -> str:
     return _local_root
 
 
+def _run_folder(spark: SparkSession) -> str:
+    """Folder of this application under the checkpoint root; its file system removes it when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _run_folders:
+        folder = f"{checkpoint_root(spark)}/tidemark-{app}-{uuid.uuid4().hex}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _run_folders[app] = folder
+    return _run_folders[app]
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused folder under the checkpoint root."""
-    return f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new, unused folder for this application."""
+    return f"{_run_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def spread_small(df: DataFrame) -> DataFrame:
@@ -53,6 +69,24 @@ def spread_small(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < cores * split else df
 
 
+@contextmanager
+def bucketed(df: DataFrame, label: str, *columns: str) -> Iterator[DataFrame]:
+    """``df`` written in buckets of these columns, one task per bucket: joins on them do not shuffle it again.
+
+    The table is known to the session catalogue while the context is open; its files stay in the scratch folder.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    name = "tidemark_" + path.rsplit("/", 1)[1].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    laid = df.repartition(buckets, *columns).write.format("parquet").option("path", path)
+    laid.bucketBy(buckets, *columns).sortBy(*columns).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to shared storage and return the written table (columnar, with sizes the planner can use)."""
     path = scratch_path(df.sparkSession, label)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from tidemark.operators.hashtags import growth_column, hashtag_trend
+from tidemark.operators.hashtags import growth_column, tag_growth, trend_of_tags
 
 
 def read_posts_stream(spark: SparkSession, path: str, schema: StructType | str, fmt: str = "json", **options) -> DataFrame:
@@ -48,21 +48,21 @@ def write_trends_stream(
     growth: DataFrame,
     path: str,
     checkpoint: str,
-    report: Callable[[DataFrame], DataFrame] = hashtag_trend,
+    report: Callable[[DataFrame], DataFrame] = trend_of_tags,
     **trigger,
 ) -> StreamingQuery:
-    """Start the query: each batch's closed windows go through ``report`` to ``path/batch=N``.
+    """Start the query: the tagged posts of each batch's closed windows go through ``report`` to ``path/batch=N``.
 
     A batch that is run again after a failure overwrites its own folder, so no row is written twice. Pass
     ``availableNow=True`` to stop at the end of the input, or ``processingTime="2 seconds"`` to go on.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
+        tagged = tag_growth(batch).persist()
         try:
-            report(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            report(tagged).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
         finally:
-            batch.unpersist()
+            tagged.unpersist()
 
     return (
         growth.writeStream.outputMode("append")
