@@ -60,7 +60,8 @@ def block_slices(
     bins: int = BINS_PER_BLOCK,
 ) -> DataFrame:
     """Add ``rank`` (of the read in its contig, by position) and ``block``: so many reads per block as an average
-    block should have, the last block taking what is left. Contigs with less than a read per bin are one block."""
+    block should have, the last block taking what is left. Contigs with less than a read per bin are one block.
+    Pass a table: the reads are ordered, and so read twice."""
     numbered = ranked(reads, list(order), keys=["idx"])
     sizes = contig_blocks(read_counts(numbered), contigs, width, bins).select("idx", "blocks", "avg")
     placed = lookup_join(numbered, sizes, ["idx"])

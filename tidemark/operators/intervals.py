@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,11 +53,11 @@ def _islands(spans: DataFrame, gap: int, slab: int) -> DataFrame:
     return ended.select("key", "contig", "start", F.coalesce("next_here", "next_slab", "contig_reach").alias("end"))
 
 
-def merge_intervals(df: DataFrame, gap: int = READ_GAP, slab: int = SLAB) -> DataFrame:
-    """(contig, start, end) of the islands of ``df``: an interval joins the island before it if it is on the same
-    contig and starts at most ``gap`` after the island's end."""
-    spans = df.select(F.col("contig").alias("key"), "contig", "start", "end")
-    return _islands(spans, gap, slab).select("contig", "start", "end")
+def merge_intervals(df: DataFrame, gap: int = READ_GAP, slab: int = SLAB, by: Sequence[str] = ()) -> DataFrame:
+    """(by.., contig, start, end) of the islands of ``df``: an interval joins the island before it if it is on the same
+    contig (and has the same ``by``) and starts at most ``gap`` after the island's end."""
+    spans = df.select(F.struct(*by, "contig").alias("key"), "contig", "start", "end")
+    return _islands(spans, gap, slab).select(*[f"key.{c}" for c in by], "contig", "start", "end")
 
 
 def merge_intervals_padded(df: DataFrame, pad: int, slab: int = SLAB) -> DataFrame:

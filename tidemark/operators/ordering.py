@@ -17,7 +17,8 @@ def ranked(df: DataFrame, order: Sequence[Column | str], keys: Sequence[str] = (
 
     Rows are range-partitioned on (keys, order), so a key of any size is cut into as many chunks as it needs. Each
     chunk numbers its own rows; only the chunk sizes (a few per key) go through a window to give each its offset.
-    Rows that tie on ``order`` are numbered in no particular order: give enough columns to separate them.
+    Rows that tie on ``order`` are numbered in no particular order: give enough columns to separate them. Range
+    partitioning samples its input before it reads it, so pass a table, not a costly plan.
     """
     keys = list(keys)
     order = [F.col(c) if isinstance(c, str) else c for c in order]

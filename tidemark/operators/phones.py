@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.phones import phone_numbers
 from tidemark.operators.ordering import ranked
+from tidemark.session import materialise
 
 URLS_PER_ROW = 10_000
 
@@ -21,8 +22,11 @@ def phone_index(found: DataFrame, url: str = "url", urls_per_row: int = URLS_PER
 
     A number has one row (part 0) unless it is on more than ``urls_per_row`` pages; then it has as many rows as it
     needs, and its parts read one after the other are its full list. No list grows without bound.
+
+    The hits are written first: ordering looks at its input twice, and the pages or archives should be read once.
     """
-    placed = ranked(found.select("num", F.col(url).alias("url")), ["url"], keys=["num"], name="pos")
+    hits = materialise(found.select("num", F.col(url).alias("url")), "hits")
+    placed = ranked(hits, ["url"], keys=["num"], name="pos")
     return (
         placed.groupBy("num", F.floor((F.col("pos") - 1) / urls_per_row).alias("part"))
         .agg(F.array_sort(F.collect_list(F.struct("pos", "url"))).alias("hits"))

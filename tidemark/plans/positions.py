@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.alignments import bad_quality, fix_quality
 from tidemark.operators import blocks, density, intervals, variants
 from tidemark.plans.tables import table
-from tidemark.session import scratch_path, spread_small
+from tidemark.session import materialise, scratch_path, spread_small
 from tidemark.sources import genomic, sinks
 
 CONTIGS = 25
@@ -154,7 +154,8 @@ def block_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def block_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sliced = blocks.block_slices(_reads(spark, sf_dir), _contigs(spark, sf_dir), order=("pos", "qname", "flag", "qual"))
+    reads = materialise(_reads(spark, sf_dir), "reads")
+    sliced = blocks.block_slices(reads, _contigs(spark, sf_dir), order=("pos", "qname", "flag", "qual"))
     return sliced.groupBy("idx", "block").agg(
         F.count("*").alias("reads"),
         F.min("rank").alias("first_rank"),

@@ -22,7 +22,7 @@ def read_manifest(spark: SparkSession, path: str, partitions: int | None = None)
     Without a number the rows go to as many partitions as the cluster has cores by default.
     """
     lines = spark.read.text(path).select(F.trim("value").alias("uri")).filter(F.col("uri") != "")
-    return lines.repartition(partitions or spark.sparkContext.defaultParallelism, "uri")
+    return lines.repartition(partitions or spark.sparkContext.defaultParallelism)
 
 
 def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
