@@ -34,8 +34,7 @@ def canonical(columns, rows):
     return names, sorted(repr([_plain(row[i]) for i in order]) for row in rows)
 
 
-def spark_rows(query, spark, sf_dir):
-    df = query(spark, sf_dir)
+def spark_rows(df):
     return canonical(df.columns, [tuple(r) for r in df.collect()])
 
 
@@ -58,7 +57,7 @@ def main(argv):
     for key in argv or queries:
         start = time.time()
         try:
-            names, got = spark_rows(queries[key], spark, sf_dir)
+            names, got = spark_rows(queries[key](spark, sf_dir))
         except Exception as e:  # noqa: BLE001
             print(f"{key}: FAILED {str(e)[:1500]}", flush=True)
             bad += 1

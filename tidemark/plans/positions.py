@@ -17,8 +17,12 @@ GROUPS = 8
 
 
 def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _placed(table(spark, sf_dir, "lineitem"))
+
+
+def _placed(items: DataFrame) -> DataFrame:
     idx = F.col("l_suppkey") % CONTIGS
-    return spread_small(table(spark, sf_dir, "lineitem")).withColumns(
+    return items.withColumns(
         {
             "idx": idx,
             "contig": F.concat(F.lit("chr"), idx.cast("string")),
@@ -43,7 +47,7 @@ def _qname():
 def _sam_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One alignment line per line item; returned ones are unmapped, qualities are of both encodings."""
     quality = F.when(F.col("l_linestatus") == "F", F.lit("I")).when(F.col("l_linenumber") == 1, F.lit("5h")).otherwise("hU")
-    return _lineitem(spark, sf_dir).select(
+    return _placed(spread_small(table(spark, sf_dir, "lineitem"))).select(
         F.concat_ws(
             "\t",
             _qname(),
@@ -77,7 +81,7 @@ def _vcf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("chr"),
         F.when(number == 22, F.lit("X")).when(number == 23, F.lit("Y")).when(number == 24, F.lit("M")).otherwise(_str("idx")),
     )
-    return _lineitem(spark, sf_dir).select(
+    return _placed(spread_small(table(spark, sf_dir, "lineitem"))).select(
         F.concat_ws("\t", chrom, _str("pos"), F.lit("."), "l_returnflag", "l_linestatus", _str("l_partkey")).alias("value"),
         "l_discount",
         "l_tax",
