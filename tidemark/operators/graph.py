@@ -53,28 +53,35 @@ def cooccurrence_degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").alias("id")).agg(F.sum("others").alias("edges"))
 
 
-def _step(by_id: DataFrame, by_grp: DataFrame, people: DataFrame, heavy: dict[str, DataFrame | None]) -> DataFrame:
-    """People to their groups to the people in them; the memberships come salted for both joins."""
-    chosen = copy_heavy(people, ["id"], heavy["id"])
-    groups = by_id.join(chosen, ["id", SALT], "left_semi").select("grp").distinct()
-    wanted = copy_heavy(groups, ["grp"], heavy["grp"])
-    return by_grp.join(wanted, ["grp", SALT], "left_semi").select("id").distinct()
+class _Side:
+    """Memberships as one of the two joins of a step needs them: by person or by group, salted if some are heavy.
 
+    The heavy keys (a few hundred at most) are kept as a small table, because every step reads them.
+    """
+
+    def __init__(self, members: DataFrame, key: str):
+        heavy = materialise(heavy_keys(members.groupBy(key).count(), [key], "count"), f"heavy-{key}")
+        self.key = key
+        self.heavy = None if heavy.isEmpty() else heavy
+        self.on = [key] if self.heavy is None else [key, SALT]
+        self.members = members if self.heavy is None else spread_heavy(members, [key], self.heavy)
+
+    def having(self, keys: DataFrame) -> DataFrame:
+        """Memberships of these keys, which must be distinct."""
+        wanted = keys if self.heavy is None else copy_heavy(keys, [self.key], self.heavy)
+        return self.members.join(wanted, self.on, "left_semi")
 
-def _salted(members: DataFrame) -> tuple[dict[str, DataFrame], dict[str, DataFrame | None]]:
-    """Memberships salted by person and by group, and the heavy people and groups: a few hundred at most (None if there
-    are none), kept as small tables because every step reads them."""
-    heavy = {}
-    for key in ("id", "grp"):
-        kept = materialise(heavy_keys(members.groupBy(key).count(), [key], "count"), f"heavy-{key}")
-        heavy[key] = None if kept.isEmpty() else kept
-    return {key: spread_heavy(members, [key], heavy[key]) for key in heavy}, heavy
+
+def _step(by_id: _Side, by_grp: _Side, people: DataFrame) -> DataFrame:
+    """People to their groups to the people in them."""
+    groups = by_id.having(people).select("grp").distinct()
+    return by_grp.having(groups).select("id").distinct()
 
 
 def neighbours(members: DataFrame, people: DataFrame) -> DataFrame:
     """(id): everyone who shares a group with one of ``people`` (distinct ids), those included."""
-    salted, heavy = _salted(materialise(members.select("id", "grp").distinct(), "members"))
-    return _step(salted["id"], salted["grp"], people, heavy)
+    members = materialise(members.select("id", "grp").distinct(), "members")
+    return _step(_Side(members, "id"), _Side(members, "grp"), people)
 
 
 def shortest_hops(members: DataFrame, source, max_hops: int | None = None) -> DataFrame:
@@ -86,7 +93,8 @@ def shortest_hops(members: DataFrame, source, max_hops: int | None = None) -> Da
     """
     spark = members.sparkSession
     shared = cooccurrence_edges(members).select(F.col("src").alias("id"), F.col("via").alias("grp"))
-    salted, heavy = _salted(materialise(shared, "members"))
+    shared = materialise(shared, "members")
+    by_id, by_grp = _Side(shared, "id"), _Side(shared, "grp")
     root = scratch_path(spark, "hops")
     schema = members.select("id").schema
 
@@ -94,13 +102,16 @@ def shortest_hops(members: DataFrame, source, max_hops: int | None = None) -> Da
         return f"{root}/distance={distance}"
 
     spark.createDataFrame([(source,)], schema).write.parquet(reached(0))
-    with bucketed(salted["id"], "by-id", "id", SALT) as by_id, bucketed(salted["grp"], "by-grp", "grp", SALT) as by_grp:
+    with (
+        bucketed(by_id.members, "by-id", *by_id.on) as by_id.members,
+        bucketed(by_grp.members, "by-grp", *by_grp.on) as by_grp.members,
+    ):
         for distance in count(1):
             if max_hops is not None and distance > max_hops:
                 break
             last = spark.read.schema(schema).parquet(reached(distance - 1))
             seen = spark.read.schema(schema).parquet(*[reached(d) for d in range(distance)])
-            found = _step(by_id, by_grp, last, heavy)
+            found = _step(by_id, by_grp, last)
             found.join(seen, "id", "left_anti").write.parquet(reached(distance))
             if spark.read.schema(schema).parquet(reached(distance)).isEmpty():
                 break

@@ -31,18 +31,14 @@ def _flagged(df: DataFrame, on: Sequence[str], heavy: DataFrame) -> DataFrame:
     return df.join(F.broadcast(heavy.withColumn("_heavy", F.lit(True))), list(on), "left")
 
 
-def spread_heavy(df: DataFrame, on: Sequence[str], heavy: DataFrame | None, salts: int = SALTS) -> DataFrame:
-    """Add the salt column: a hash of the row for heavy keys, 0 for all others (all rows, if there is no heavy key)."""
-    if heavy is None:
-        return df.withColumn(SALT, F.lit(0))
+def spread_heavy(df: DataFrame, on: Sequence[str], heavy: DataFrame, salts: int = SALTS) -> DataFrame:
+    """Add the salt column: a hash of the row for heavy keys, 0 for all others."""
     salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int")
     return _flagged(df, on, heavy).withColumn(SALT, F.when(F.col("_heavy"), salt).otherwise(0)).drop("_heavy")
 
 
-def copy_heavy(df: DataFrame, on: Sequence[str], heavy: DataFrame | None, salts: int = SALTS) -> DataFrame:
+def copy_heavy(df: DataFrame, on: Sequence[str], heavy: DataFrame, salts: int = SALTS) -> DataFrame:
     """Add the salt column to the other side of the join: a row of a heavy key once for every salt."""
-    if heavy is None:
-        return df.withColumn(SALT, F.lit(0))
     last = F.when(F.col("_heavy"), salts - 1).otherwise(0)
     return _flagged(df, on, heavy).withColumn(SALT, F.explode(F.sequence(F.lit(0), last))).drop("_heavy")
 
