@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tests.helpers import rows
 from tidemark.operators import ordering
 from tidemark.operators.ordering import ranked
-from tidemark.operators.skew import heavy_keys, lookup_join, skew_join
+from tidemark.operators.skew import HEAVY_LIMIT, heavy_keys, lookup_join, skew_join
 
 
 def hot(spark, n=9000):
@@ -48,8 +48,10 @@ def test_heavy_rows_are_spread(spark):
 
 def test_heavy_keys_are_few(spark):
     counts = hot(spark).groupBy("k").count()
-    assert rows(heavy_keys(counts, ["k"], "count", 500)) == [(0,)]
-    assert heavy_keys(spark.range(1000).select(F.col("id").alias("k"), F.lit(9).alias("n")), ["k"], "n", 1).count() == 256
+    assert rows(heavy_keys(counts, ["k"], "count", 500)) == [(0, 13)]
+    assert rows(heavy_keys(counts, ["k"], "count", 500, salts=8)) == [(0, 8)]
+    many = spark.range(5000).select(F.col("id").alias("k"), F.lit(9).alias("n"))
+    assert heavy_keys(many, ["k"], "n", 1).count() == HEAVY_LIMIT
 
 
 def test_lookup_join_both_ways(spark):

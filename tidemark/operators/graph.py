@@ -56,7 +56,7 @@ def cooccurrence_degrees(edges: DataFrame) -> DataFrame:
 class _Side:
     """Memberships as one of the two joins of a step needs them: by person or by group, salted if some are heavy.
 
-    The heavy keys (a few hundred at most) are kept as a small table, because every step reads them.
+    The heavy keys (a few thousand at most) are kept as a small table, because every step reads them.
     """
 
     def __init__(self, members: DataFrame, key: str):

@@ -15,6 +15,7 @@ from tidemark.session import materialise
 READ_GAP = 51
 SLAB = 65_536
 INTERSECT_BIN = 1_024
+INTERSECT_SALTS = 128  # a crowded bin may be crowded on both sides, and one side is copied this often
 
 
 def _islands(spans: DataFrame, gap: int, slab: int) -> DataFrame:
@@ -86,7 +87,7 @@ def interval_intersect(a: DataFrame, b: DataFrame, bin_width: int = INTERSECT_BI
     left, right = _binned(a, bin_width, "a"), _binned(b, bin_width, "b")
     start, end = F.greatest("a_start", "b_start"), F.least("a_end", "b_end")
     return (
-        skew_join(left, right, ["contig", "bin"])
+        skew_join(left, right, ["contig", "bin"], salts=INTERSECT_SALTS)
         .filter((start < end) & (F.col("bin") == div(start, bin_width)))
         .select("contig", start.alias("start"), end.alias("end"), "a_start", "a_end", "b_start", "b_end")
     )

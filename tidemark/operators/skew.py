@@ -9,38 +9,43 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialise
 
-HEAVY_LIMIT = 256  # a key with more than 1/256 of all rows is always among the 256 largest
-SALTS = 32
+HEAVY_LIMIT = 4096  # a key with more than 1/4096 of all rows is always among the 4096 largest
+MAX_SALTS = 8192  # most tasks one key is spread over
 SALT = "_salt"
-MIN_HEAVY_ROWS = 200_000  # smaller groups are no burden for one task
+MIN_HEAVY_ROWS = 200_000  # smaller groups are no burden for one task; larger ones are cut to this size
 SMALL_ROWS = 500_000  # largest lookup table that is broadcast, checked by counting it
 
 
-def heavy_keys(weights: DataFrame, on: Sequence[str], weight: str, min_rows: int = MIN_HEAVY_ROWS) -> DataFrame:
-    """The largest keys of ``weights`` (one row per key), at most ``HEAVY_LIMIT`` of them: safe to broadcast."""
+def heavy_keys(
+    weights: DataFrame, on: Sequence[str], weight: str, min_rows: int = MIN_HEAVY_ROWS, salts: int = MAX_SALTS
+) -> DataFrame:
+    """The largest keys of ``weights`` (one row per key) and how many parts each is cut into, as ``_salts``.
+
+    There are at most ``HEAVY_LIMIT`` of them, so they are safe to broadcast at any size of the input.
+    """
     return (
         weights.filter(F.col(weight) >= min_rows)
         .orderBy(F.desc(weight), *on)
         .limit(HEAVY_LIMIT)
-        .select(*on)
+        .select(*on, F.least(F.ceil(F.col(weight) / min_rows), F.lit(salts)).cast("int").alias("_salts"))
     )
 
 
 def _flagged(df: DataFrame, on: Sequence[str], heavy: DataFrame) -> DataFrame:
-    """Add ``_heavy``, TRUE on rows of heavy keys: a join with ``HEAVY_LIMIT`` rows at most."""
-    return df.join(F.broadcast(heavy.withColumn("_heavy", F.lit(True))), list(on), "left")
+    """Add ``_salts``, NULL on rows of keys that are not heavy: a join with ``HEAVY_LIMIT`` rows at most."""
+    return df.join(F.broadcast(heavy), list(on), "left")
 
 
-def spread_heavy(df: DataFrame, on: Sequence[str], heavy: DataFrame, salts: int = SALTS) -> DataFrame:
+def spread_heavy(df: DataFrame, on: Sequence[str], heavy: DataFrame) -> DataFrame:
     """Add the salt column: a hash of the row for heavy keys, 0 for all others."""
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int")
-    return _flagged(df, on, heavy).withColumn(SALT, F.when(F.col("_heavy"), salt).otherwise(0)).drop("_heavy")
+    salt = F.pmod(F.xxhash64(*df.columns), F.col("_salts")).cast("int")
+    return _flagged(df, on, heavy).withColumn(SALT, F.coalesce(salt, F.lit(0))).drop("_salts")
 
 
-def copy_heavy(df: DataFrame, on: Sequence[str], heavy: DataFrame, salts: int = SALTS) -> DataFrame:
+def copy_heavy(df: DataFrame, on: Sequence[str], heavy: DataFrame) -> DataFrame:
     """Add the salt column to the other side of the join: a row of a heavy key once for every salt."""
-    last = F.when(F.col("_heavy"), salts - 1).otherwise(0)
-    return _flagged(df, on, heavy).withColumn(SALT, F.explode(F.sequence(F.lit(0), last))).drop("_heavy")
+    last = F.coalesce(F.col("_salts") - 1, F.lit(0))
+    return _flagged(df, on, heavy).withColumn(SALT, F.explode(F.sequence(F.lit(0), last))).drop("_salts")
 
 
 def skew_join(
@@ -51,10 +56,11 @@ def skew_join(
     weights: DataFrame | None = None,
     weight: str = "count",
     heavy: DataFrame | None = None,
-    salts: int = SALTS,
+    salts: int = MAX_SALTS,
     min_rows: int = MIN_HEAVY_ROWS,
 ) -> DataFrame:
-    """Join on equal keys; rows of a heavy left key are spread over ``salts`` tasks, its right rows are copied to each.
+    """Join on equal keys; rows of a heavy left key are cut into parts of about ``min_rows`` (at most ``salts`` parts),
+    its right rows are copied to each part. Meant for a right side with few rows per key, best one.
 
     ``weights`` (keys plus left row count) saves the counting pass over ``left`` when the caller has it already, and
     ``heavy`` is the result of ``heavy_keys`` itself. The salt is a hash of the row, so a task that is run again puts
@@ -66,8 +72,8 @@ def skew_join(
     if heavy is None:
         if weights is None:
             weights, weight = left.groupBy(*on).count(), "count"
-        heavy = heavy_keys(weights, on, weight, min_rows)
-    spread, copied = spread_heavy(left, on, heavy, salts), copy_heavy(right, on, heavy, salts)
+        heavy = heavy_keys(weights, on, weight, min_rows, salts)
+    spread, copied = spread_heavy(left, on, heavy), copy_heavy(right, on, heavy)
     return spread.join(copied, [*on, SALT], how).drop(SALT)
 
 
