@@ -103,7 +103,7 @@ def test_trending(spark, tmp_path):
 
 
 def test_command_line():
-    options = programs.parser().parse_args(["separation", "m", "f", "o", "--root", "R"])
+    options = programs.parser().parse_args(["separation", "m", "f", "o", "R"])
     assert (options.program, options.males, options.root) == ("separation", "m", "R")
     with pytest.raises(SystemExit):
         programs.parser().parse_args(["concordance", "only-one"])

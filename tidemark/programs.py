@@ -17,8 +17,6 @@ from tidemark.sources import archives, fastq, genomic, sinks
 from tidemark.sources.text import read_lines, read_manifest, read_records
 from tidemark.streaming import arrivals, trends
 
-ROOT = "Bacon, Kevin (I)"  # fixed value: the person separation is counted from
-
 
 def word_frequency(spark: SparkSession, text: str, output: str) -> None:
     """Words by frequency, each with the words before it, as text."""
@@ -33,8 +31,8 @@ def phone_index(spark: SparkSession, manifest: str, output: str, partitions: int
     print("Failed segments: {failed_segments}\nFailed parses: {failed_records}".format(**counters.get), file=sys.stderr)
 
 
-def separation(spark: SparkSession, males: str, females: str, output: str, root: str = ROOT) -> None:
-    """Report on how many films away from the root everybody is, as text."""
+def separation(spark: SparkSession, males: str, females: str, output: str, root: str) -> None:
+    """Report on how many films away from the person named ``root`` everybody is, as text."""
     vertices, members = graph.build_graph(cast.parse_casts(read_records(spark, males), read_records(spark, females)))
     vertices, members = materialise(vertices, "vertices"), materialise(members, "members")
     distances = graph.shortest_hops(members, graph.find_root(vertices, root))
