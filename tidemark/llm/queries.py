@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import tokens
+from tidemark.llm import language_id, tokens, toxicity
+from tidemark.llm.common import held_out
 
 TOKEN_LIMIT = 4096
 
@@ -15,6 +16,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; the lexicon is learned from labelled rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    lexicon = toxicity.learn_lexicon(toxicity.labelled_sample(docs, labels))
+    scored = toxicity.score_toxicity(docs, lexicon)
+    score = F.col("toxicity.score")
+    predicted = (score >= toxicity.THRESHOLD).cast("int")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), predicted.alias("predicted"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; the classifiers are learned from rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    sample = language_id.labelled_sample(docs.where(~held_out(F.col("doc_id"))))
+    found = language_id.identify_language(docs.select("doc_id", "text"), language_id.learn_languages(sample))
+    columns = [F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"), F.col("language.ambiguous").alias("ambiguous")]
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), *columns)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole document, the last of its prefix counts."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -23,7 +44,9 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
+    "op10_language": op10_language,
 }
 
 ORACLES: dict[str, str] = {}
