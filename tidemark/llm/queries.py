@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language_id, tokens, toxicity
+from tidemark.llm import language_id, packing, tokens, toxicity
 from tidemark.llm.common import held_out
 
 TOKEN_LIMIT = 4096
@@ -43,9 +43,15 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "tokens.n_bytes", "tokens.n_tokens", (F.col("tokens.n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4096 token ids."""
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("position")
+
+
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
+    "op6_packing": op6_packing,
     "op10_language": op10_language,
 }
 
