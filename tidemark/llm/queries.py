@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, language_id, packing, sharding, tokens, toxicity
+from tidemark.llm import exact_dedup, html_text, language_id, packing, sharding, tokens, toxicity
 from tidemark.llm.common import held_out
 
 TOKEN_LIMIT = 4096
@@ -59,12 +59,19 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    read = html_text.extract_text(_table(spark, sf_dir, "pages"))
+    return read.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_packing": op6_packing,
     "op7_sharding": op7_sharding,
+    "op9_html_text": op9_html_text,
     "op10_language": op10_language,
 }
 
