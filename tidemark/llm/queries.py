@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, html_text, language_id, packing, sharding, tokens, toxicity
+from tidemark.llm import exact_dedup, html_text, language_id, packing, sharding, tokens, top_k, toxicity
 from tidemark.llm.common import held_out
 
 TOKEN_LIMIT = 4096
@@ -16,6 +16,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector with all others."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return top_k.exact_top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; the lexicon is learned from labelled rows that are not held out."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -66,6 +72,7 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_top_k": op1_top_k,
     "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
     "op5_exact_dedup": op5_exact_dedup,
@@ -76,6 +83,17 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+            FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+        )
+        SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM s
+        WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+    """,
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
