@@ -24,6 +24,11 @@ def whole_text(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def draw(*columns: Column | str) -> Column:
+    """A number in [0, 1) from a hash of the columns."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) / float(1 << 30)
+
+
 def first_row_number() -> int:
     """Number of a task's first row: unique over the tasks of a stage, the same when a task is run again."""
     return TaskContext.get().partitionId() << ROWS_PER_TASK

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tidemark.llm.common import whole_text
+from tidemark.llm.common import draw, whole_text
 from tidemark.session import materialise
 
 #: Bound on the labelled rows of each language that the classifiers are fitted on, the first by a hash of the id.
@@ -124,8 +124,12 @@ def labelled_sample(docs: DataFrame, label: str = "lang", rows: int = SAMPLE_ROW
     base = docs.select(F.col(key).alias("_id"), F.col(label).cast("string").alias("lang"), F.col(text).alias("text"))
     base = base.where("lang is not null and text is not null and _id is not null")
     frequent = base.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_CODES).collect()
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("_id"), "_id")  # each task keeps only its own first rows
-    keys = base.where(F.col("lang").isin([r["lang"] for r in frequent])).select("_id", "lang")
+    if not frequent:
+        return materialise(base.select("text", "lang"), "labelled")
+    # rows that cannot be among the first are left out before any of them are gathered, so a frequent label is no burden
+    share = F.create_map(*[F.lit(x) for r in frequent for x in (r["lang"], min(1.0, (2.0 * rows + 100) / r["count"]))])
+    keys = base.where(draw("_id") <= F.element_at(share, F.col("lang"))).select("_id", "lang")
+    first = Window.partitionBy("lang").orderBy(draw("_id"), "_id")
     chosen = keys.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= rows).select("_id", "lang").distinct()
     return materialise(base.join(F.broadcast(chosen), ["_id", "lang"]).select("text", "lang"), "labelled")
 

@@ -13,10 +13,10 @@ the cuts fall on them and not on a group. Only DataFrame operations are used.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import whole_text
+from tidemark.llm.common import draw, whole_text
 from tidemark.operators.ordering import ranked
 from tidemark.session import materialise
 
@@ -24,12 +24,6 @@ SHARDS = 40
 ROUNDS = 6
 SLACK = 1.02  # a shard may be larger than the mean by this factor while documents move
 ROW_BYTES = 16
-BITS = 1 << 30
-
-
-def _draw(*columns: Column | str) -> Column:
-    """A number in [0, 1) from a hash."""
-    return F.pmod(F.xxhash64(*columns), F.lit(BITS)) / float(BITS)
 
 
 def propagate(votes: DataFrame, mean: float, rounds: int) -> DataFrame:
@@ -45,7 +39,7 @@ def propagate(votes: DataFrame, mean: float, rounds: int) -> DataFrame:
         quotas = quotas.select(F.col("shard").alias("target"), F.least(F.lit(1.0), room / F.col("asked")).alias("quota"))
         chosen = wish.join(F.broadcast(quotas), "target", "left")
         share = F.col("n") * F.coalesce("quota", F.lit(0.0))  # whole members move; the fraction left decides by a hash
-        movers = F.floor(share + _draw("link", "shard", F.lit(step))).cast("long")
+        movers = F.floor(share + draw("link", "shard", F.lit(step))).cast("long")
         movers = F.when(moving, F.least(F.col("n"), movers)).otherwise(F.lit(0))
         parts = F.array(
             F.struct(F.col("target").alias("shard"), movers.alias("n")),
@@ -90,9 +84,9 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, key:
         F.sort_array(F.collect_list(F.struct("upto", "shard"))).alias("places"), F.sum("n").alias("members")
     )
     placed = rows.join(spread, "link", "left").join(F.broadcast(free))  # one row
-    drawn = _draw("row", F.lit("fill")) * F.element_at("upto_free", -1)
+    drawn = draw("row", F.lit("fill")) * F.element_at("upto_free", -1)
     filled = F.least(F.size(F.filter("upto_free", lambda f: f <= drawn)), F.lit(shards - 1))
-    pick = F.floor(_draw("row", F.lit("pick")) * F.col("members"))
+    pick = F.floor(draw("row", F.lit("pick")) * F.col("members"))
     mine = F.element_at(F.filter("places", lambda p: p["upto"] > pick), 1)["shard"]
     grouped = F.col("places").isNotNull()
     side = F.when(grouped, 1).otherwise(F.when(F.xxhash64("row") % 2 == 0, 0).otherwise(2))
