@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, html_text, language_id, packing, sharding, tokens, top_k, toxicity
+from tidemark.llm import exact_dedup, html_text, jaccard_join, language_id, packing, sharding, tokens, top_k, toxicity
 from tidemark.llm.common import held_out
 
 TOKEN_LIMIT = 4096
@@ -65,6 +65,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents linked by the similarity of their four-word shingles, 85 per cent or more, as connected parts."""
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     read = html_text.extract_text(_table(spark, sf_dir, "pages"))
@@ -78,6 +83,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_packing": op6_packing,
     "op7_sharding": op7_sharding,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_html_text": op9_html_text,
     "op10_language": op10_language,
 }
@@ -99,4 +105,22 @@ ORACLES: dict[str, str] = {
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op8_ngram_jaccard": r"""
+        WITH RECURSIVE words AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), sets AS (
+            SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS g
+            FROM words
+        ), grams AS (SELECT r, unnest(g) AS gram FROM sets
+        ), shared AS (
+            SELECT a.r AS x, b.r AS y, count(*) AS n FROM grams a JOIN grams b ON a.gram = b.gram AND a.r <> b.r GROUP BY ALL
+        ), links AS (
+            SELECT x, y FROM shared JOIN sets a ON a.r = x JOIN sets b ON b.r = y WHERE 100 * n >= 85 * (len(a.g) + len(b.g) - n)
+        ), reach AS (SELECT r AS x, r AS y FROM sets UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
+        SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+        FROM reach JOIN sets s ON s.r = reach.x JOIN sets o ON o.r = reach.y GROUP BY s.r, s.doc_id, len(s.g)
+    """,
 }
