@@ -244,18 +244,21 @@ def linked_classes(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest id that links lead to, its own included).
+    """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest id that links lead to, its own included),
+    kept (one row of each component) and text_hash.
 
     Texts are linked when the Jaccard similarity of their sets of n-grams is at least ``percent`` per cent. A text with fewer
     words than an n-gram has one n-gram, all of it; null, empty and blank texts have none and are linked with nothing. Null
-    ids are never the smallest. Repeated rows are equal texts. ``docs`` must read the same rows again (a table). Other
-    columns may have any name; an empty table gives no row.
+    ids are never the smallest. Repeated rows are equal texts. Of a component the row with the smallest id stays, of rows that
+    share it the first one. ``docs`` must read the same rows again (a table). Other columns may have any name; an empty table
+    gives no row.
     """
     h = F.xxhash64(whole_text(F.col(text)))
     read = docs.select(F.col(key).cast("long").alias("_id"), h.alias("_h"), whole_text(F.col(text)).alias("_text"))
     signed = read.mapInPandas(_signed(words), "row long, doc_id long, h long, n long, s1 long, s2 long, sample array<long>")
     signed = materialise(signed, "signed")
-    classes = signed.where("n > 0").groupBy("s1", "s2").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.max("n").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("first")
+    classes = signed.where("n > 0").groupBy("s1", "s2").agg(F.min("row").alias("node"), first, F.max("n").alias("n"))
     classes = materialise(classes, "classes")
     owners = signed.select("s1", F.explode("sample").alias("gram")).groupBy("gram").agg(F.min("s1").alias("s1"), F.max("s1").alias("other"))
     alone = owners.where("s1 = other").groupBy("s1").agg(F.count("*").alias("alone"))
@@ -269,8 +272,22 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     sets = materialise(texts.mapInPandas(_sets(words), "node long, n long, grams binary"), "sets")
     parts = components(linked_classes(sets, percent))
     named = classes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("s1", "s2", "component_id")
+    least = named.groupBy("component").agg(F.min("first").alias("first"))
+    named = named.drop("first").join(least, "component").select("s1", "s2", "first")
     result = signed.drop("sample").join(named, ["s1", "s2"], "left")
-    own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return result.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    empty = F.col("n") == 0
+    return result.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(empty, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"),
+        (empty | (F.col("row") == F.col("first.row"))).alias("kept"),
+        F.col("h").alias("text_hash"),
+    )
+
+
+def drop_near(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns; of rows with the same id and text, one."""
+    kept = near_duplicates(docs, words, percent, key, text).where("kept").select(F.col("doc_id").alias("_k"), F.col("text_hash").alias("_t"))
+    marked = docs.withColumn("_tidemark_hash", F.xxhash64(whole_text(F.col(text))))
+    same = marked[key].eqNullSafe(F.col("_k")) & (F.col("_tidemark_hash") == F.col("_t"))
+    return marked.join(kept, same, "left_semi").dropDuplicates([key, "_tidemark_hash"]).drop("_tidemark_hash")

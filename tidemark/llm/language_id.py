@@ -30,7 +30,7 @@ MAX_CODES = 200
 GRAM = 3
 BUCKETS = 1 << 15
 UNDETERMINED = "und"
-AMBIGUOUS = 0.6  # a smaller share of the probability for the best language is flagged
+AMBIGUOUS = 0.5  # a smaller share of the probability for the best language is flagged
 SMOOTHING = 1.0
 _LETTER = re.compile(r"[^\W\d_]")
 _MULTIPLIERS = np.array([2654435761, 2246822519, 3266489917], np.uint32)  # odd numbers that spread the bytes

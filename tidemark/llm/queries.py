@@ -67,7 +67,8 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked by the similarity of their four-word shingles, 85 per cent or more, as connected parts."""
-    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=85)
+    grouped = jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=85)
+    return grouped.select("doc_id", "n_shingles", "component_id")
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
