@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, html_text, jaccard_join, language_id, packing, sharding, tokens, top_k, toxicity
+from tidemark.llm import exact_dedup, html_text, jaccard_join, language_id, packing, sentencepiece_lattice, sharding, tokens, top_k, toxicity
 from tidemark.llm.common import held_out
 
 TOKEN_LIMIT = 4096
@@ -49,6 +49,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "tokens.n_bytes", "tokens.n_tokens", (F.col("tokens.n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole document, and whether its words decode to themselves."""
+    model = tokens.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    coded = sentencepiece_lattice.encode(_table(spark, sf_dir, "documents"), model)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents with identical texts; the largest doc_id of each stays."""
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
@@ -81,6 +88,7 @@ QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_packing": op6_packing,
     "op7_sharding": op7_sharding,
