@@ -12,6 +12,7 @@ Shards never wait for one another and nothing is shuffled: a document's neighbou
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,16 +29,28 @@ END_ID = 2
 SHARD_TOKENS, SHARD_DOCS = 4 << 20, 4096
 QUERY_TERMS = 24  # strongest terms of a seed that are looked up
 K1, B = 1.2, 0.75
-CACHED_WORDS = 400_000
+CACHED_WORDS = 900_000
 CACHED_LENGTH = 64
+WORD_END = "</w>"  # fixed value: how the tokenizer marks the last token of a word
 PIECE = "position long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: The tokenizer's own pattern for what it encodes separately, for the letters of ``_OTHER``'s complement.
+_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+_OTHER = re.compile(r"[^\x00-\x7fÀ-ÖØ-öø-ÿ]")
+_SEPARATOR = re.compile(r"[\x1c-\x1f]")  # white space to one library and not to the other
+
+
+def _plain(text: str) -> bool:
+    return (text.isascii() or not _OTHER.search(text)) and "<|" not in text and not _SEPARATOR.search(text)
+
+
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit numbers, then ``END_ID``.
 
-    The tokenizer parts text at white space before anything else, so words between spaces and line feeds are encoded on
-    their own, each once as long as it is remembered.
+    The tokenizer lowers the case, parts the text by its pattern and encodes each part on its own, so a part is encoded
+    once as long as it is remembered. Texts with characters beyond Latin-1 letters, for which normal forms and classes matter,
+    or with a special token's string, go to the tokenizer whole.
     """
 
     def __init__(self, tokenizer: str):
@@ -46,27 +59,41 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_str(tokenizer)
         self._known: dict[str, bytes] = {}
+        vocabulary = self._tokenizer.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self._end = np.array([END_ID], "<u4").tobytes()
+
+    def _encode_whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch(words, add_special_tokens=False)]
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Words put together with spaces, many at a time: the token that ends a word is marked as such."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 1000):
+            part = words[at : at + 1000]
+            ids = np.array(self._tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            data, ends = ids.tobytes(), (4 * (np.flatnonzero(self._ends[ids]) + 1)).tolist()
+            if len(ends) == len(part):
+                out += [data[a:b] for a, b in zip([0, *ends], ends)]
+            else:
+                out += self._encode_whole(part)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self._known) > CACHED_WORDS:
-            self._known.clear()
         known = self._known
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for words in split for w in words if w not in known and len(w) <= CACHED_LENGTH})
-        known.update(zip(new, self._encode(new)))
-        end = np.array([END_ID], "<u4").tobytes()
-        out = []
-        for words in split:
-            ids = [known.get(w) for w in words]
-            if None in ids:
-                at = [i for i, x in enumerate(ids) if x is None]
-                for i, x in zip(at, self._encode([words[i] for i in at])):
-                    ids[i] = x
-            ids.append(end)
-            out.append(b"".join(ids))
+        if len(known) > CACHED_WORDS:
+            known.clear()
+        split = [_WORDS.findall(t.lower()) if _plain(t) else None for t in texts]
+        new = list(set().union(*[w for w in split if w]).difference(known))
+        long = {w for w in new if len(w) > CACHED_LENGTH}
+        known.update(zip(new, self._encode_words(new)))
+        out = [b"".join([*map(known.__getitem__, words), self._end]) if words is not None else b"" for words in split]
+        whole = [i for i, words in enumerate(split) if words is None]
+        for i, ids in zip(whole, self._encode_whole([texts[i] for i in whole])):
+            out[i] = ids + self._end
+        for w in long:
+            del known[w]
         return out
 
 
