@@ -33,7 +33,7 @@ def test_phone_index(spark, tmp_path, capsys):
     archive = put(tmp_path, "a.warc", record("u1", b"x +31 20 1234567") + record("u2", b"\xff"))
     manifest = put(tmp_path, "list", f"file:{archive}\nfile:/nowhere\n")
     programs.phone_index(spark, manifest, str(tmp_path / "out"))
-    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("+31201234567", "u1\t")]
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("+31201234567", 0, "u1\t")]
     assert "Failed segments: 1\nFailed parses: 1" in capsys.readouterr().err
 
 

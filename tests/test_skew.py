@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tests.helpers import rows
 from tidemark.operators import ordering
 from tidemark.operators.ordering import ranked
-from tidemark.operators.skew import HEAVY_LIMIT, heavy_keys, lookup_join, skew_join
+from tidemark.operators.skew import heavy_keys, lookup_join, skew_join
 
 
 def hot(spark, n=9000):
@@ -19,14 +19,14 @@ def test_skew_join_equals_plain_join(spark):
     right = spark.range(0, 60, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
     for how in ("inner", "left", "left_semi", "left_anti"):
         want = sorted(map(repr, rows(left.join(right, ["k"], how))))
-        got = sorted(map(repr, rows(skew_join(left, right, ["k"], how, salts=4, min_rows=500))))
+        got = sorted(map(repr, rows(skew_join(left, right, ["k"], how, min_rows=500))))
         assert got == want, how
 
 
 def test_skew_join_many_to_many(spark):
     left = hot(spark, 900)
     right = spark.range(40).select((F.col("id") % 4).alias("k"), F.col("id").alias("w"))
-    got = skew_join(left, right, ["k"], salts=4, min_rows=100)
+    got = skew_join(left, right, ["k"], min_rows=100)
     assert got.count() == left.join(right, ["k"]).count()
     assert got.distinct().count() == got.count()
 
@@ -37,7 +37,7 @@ def test_heavy_rows_are_spread(spark):
         spark.conf.set(name, value)
     try:
         right = spark.range(50).withColumnRenamed("id", "k")
-        joined = skew_join(hot(spark), right, ["k"], salts=16, min_rows=500)
+        joined = skew_join(hot(spark), right, ["k"], min_rows=500)
         sizes = [r["count"] for r in joined.filter("k = 0").groupBy(F.spark_partition_id()).count().collect()]
     finally:
         for name in plain:
@@ -46,17 +46,22 @@ def test_heavy_rows_are_spread(spark):
     assert max(sizes) < sum(sizes) / 2
 
 
-def test_heavy_keys_are_few(spark):
+def test_no_key_above_the_threshold_is_missed(spark):
     counts = hot(spark).groupBy("k").count()
-    assert rows(heavy_keys(counts, ["k"], "count", 500)) == [(0, 13)]
-    assert rows(heavy_keys(counts, ["k"], "count", 500, salts=8)) == [(0, 8)]
-    many = spark.range(5000).select(F.col("id").alias("k"), F.lit(9).alias("n"))
-    assert heavy_keys(many, ["k"], "n", 1).count() == HEAVY_LIMIT
+    share = max(500, 9000 / int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert rows(heavy_keys(counts, ["k"], "count", 500)) == [(0, -int(-6000 // share))]
+    spark.conf.set("spark.sql.shuffle.partitions", "10000")
+    try:
+        many = spark.range(5000).select(F.col("id").alias("k"), F.lit(9).alias("n"))
+        cut = heavy_keys(many, ["k"], "n", 1).collect()
+        assert len(cut) == 5000 and all(r._salts == 2 for r in cut)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
 def test_lookup_join_both_ways(spark):
     left, table = hot(spark, 300), spark.range(50).select(F.col("id").alias("k"), F.lit("x").alias("w"))
-    small, large = lookup_join(left, table, ["k"]), lookup_join(left, table, ["k"], small_rows=10)
+    small, large = lookup_join(left, table, ["k"]), lookup_join(left, table, ["k"], small_bytes=10)
     assert sorted(rows(small)) == sorted(rows(large))
 
 

@@ -30,7 +30,7 @@ def test_index_parts_hold_all_urls(spark, tmp_path):
     assert "".join(u for n, _, u in got if n == "+31") == "".join(f"u{i:02}\t" for i in range(25))
     assert got[-1][2] == "a\ta\t"
     sinks.write_phone_index(index, str(tmp_path / "index"))
-    assert spark.read.parquet(str(tmp_path / "index")).dtypes == [("num", "string"), ("urls", "string")]
+    assert spark.read.parquet(str(tmp_path / "index")).dtypes == [("num", "string"), ("part", "bigint"), ("urls", "string")]
 
 
 def record(uri, block, kind="resource", content="text/html"):
@@ -85,7 +85,7 @@ def test_failures_are_counted_and_good_records_kept(spark, manifest):
     listing = manifest(cut, wrong, b"no archive", extra=["file:/nowhere", "s3:/bad", "http://other/x"])
     scan, counters = archives.observed_scan(listing)
     assert sorted(r.target_uri for r in scan.collect()) == ["u1", "u4"]
-    assert counters.get == {"failed_segments": 4, "failed_records": 1}
+    assert counters.get == {"failed_segments": 4, "failed_records": 1, "skipped_archives": 1}
 
 
 def test_scan_to_index(spark, manifest):

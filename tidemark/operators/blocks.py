@@ -42,7 +42,7 @@ def block_weights(
     counts: DataFrame, density: DataFrame, contigs: DataFrame, width: int = BIN_WIDTH, bins: int = BINS_PER_BLOCK
 ) -> DataFrame:
     """(idx, block, blocks, avg, weight): average reads of the bins of each block that have variants, plus one for
-    every hundred of their variants."""
+    every hundred of their variants. Blocks without variants have no row, see ``all_block_weights``."""
     known = lookup_join(density.select("idx", "bin", "n"), contig_blocks(counts, contigs, width, bins), ["idx"])
     return (
         known.filter(F.col("bin").between(1, F.col("bins")))
@@ -52,6 +52,19 @@ def block_weights(
     )
 
 
+def all_block_weights(
+    counts: DataFrame, density: DataFrame, contigs: DataFrame, width: int = BIN_WIDTH, bins: int = BINS_PER_BLOCK
+) -> DataFrame:
+    """``block_weights`` with every block of the contigs that have reads: one without variants weighs the average reads
+    of its bins, so that its reads are dealt out like the others."""
+    sized = contig_blocks(counts, contigs, width, bins)
+    every = sized.withColumn("block", F.explode(F.sequence(F.lit(1).cast("long"), F.col("blocks"))))
+    own_bins = F.least(F.lit(bins).cast("long"), F.greatest(F.col("bins") - (F.col("block") - 1) * bins, F.lit(1)))
+    known = block_weights(counts, density, contigs, width, bins).select("idx", "block", "weight")
+    joined = every.join(known, ["idx", "block"], "left")
+    return joined.select("idx", "block", "blocks", "avg", F.coalesce("weight", F.col("avg") * own_bins).alias("weight"))
+
+
 def block_slices(
     reads: DataFrame,
     contigs: DataFrame,

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.positions import BIN_WIDTH, BINS_PER_BLOCK, bin_of, block_of, div
 
 
+SLAB = 65_536  # bins that are made from one row
+
+
 def with_bin(df: DataFrame, pos: str = "pos", width: int = BIN_WIDTH) -> DataFrame:
     return df.withColumn("bin", bin_of(pos, width))
 
@@ -24,7 +27,11 @@ def with_bin_number(contigs: DataFrame, width: int = BIN_WIDTH) -> DataFrame:
 def bin_grid(contigs: DataFrame, width: int = BIN_WIDTH) -> DataFrame:
     """(idx, contig, bin): every bin of every contig of the dictionary (idx, contig, length)."""
     numbered = with_bin_number(contigs, width)
-    return numbered.select("idx", "contig", F.explode(F.sequence(F.lit(1).cast("long"), "bins")).alias("bin"))
+    # first a row per slab, dealt out, then its bins: no row holds the bins of a whole contig
+    slabs = numbered.withColumn("first", F.explode(F.sequence(F.lit(1).cast("long"), "bins", F.lit(SLAB).cast("long"))))
+    dealt = slabs.repartition("idx", "first")
+    last = F.least("bins", F.col("first") + (SLAB - 1))
+    return dealt.select("idx", "contig", F.explode(F.sequence("first", last)).alias("bin"))
 
 
 def bin_counts(variants: DataFrame, width: int = BIN_WIDTH) -> DataFrame:

@@ -56,7 +56,7 @@ def cooccurrence_degrees(edges: DataFrame) -> DataFrame:
 class _Side:
     """Memberships as one of the two joins of a step needs them: by person or by group, salted if some are heavy.
 
-    The heavy keys (a few thousand at most) are kept as a small table, because every step reads them.
+    The heavy keys (at most one per partition) are kept as a small table, because every step reads them.
     """
 
     def __init__(self, members: DataFrame, key: str):
@@ -72,24 +72,22 @@ class _Side:
         return self.members.join(wanted, self.on, "left_semi")
 
 
-def _step(by_id: _Side, by_grp: _Side, people: DataFrame) -> DataFrame:
-    """People to their groups to the people in them."""
-    groups = by_id.having(people).select("grp").distinct()
-    return by_grp.having(groups).select("id").distinct()
-
-
 def neighbours(members: DataFrame, people: DataFrame) -> DataFrame:
     """(id): everyone who shares a group with one of ``people`` (distinct ids), those included."""
     members = materialise(members.select("id", "grp").distinct(), "members")
-    return _step(_Side(members, "id"), _Side(members, "grp"), people)
+    groups = _Side(members, "id").having(people).select("grp").distinct()
+    return _Side(members, "grp").having(groups).select("id").distinct()
 
 
 def shortest_hops(members: DataFrame, source, max_hops: int | None = None) -> DataFrame:
     """(id, distance): fewest steps from ``source`` to everyone it is connected with (itself: 0).
 
-    Each round reads the people reached in the last one, steps to their neighbours, and writes those not seen before
-    as the table of its distance; no plan is longer than one round, and a lost executor costs one re-read. The
-    memberships are bucketed once by person and once by group, so that a round shuffles only what it found.
+    Each round reads the people reached in the last one, steps to their groups and on to their neighbours, and writes
+    those not seen before as the table of its distance; no plan is longer than one round, and a lost executor costs one
+    re-read. A group that a person of the last round is in can have been stepped to in the last round only, as it would
+    have brought that person earlier, and who is in a new group is as far as the last round or one further. So a round
+    reads the groups and people of the last one and nothing older. The memberships are bucketed once by person and once
+    by group: a round shuffles what it found.
     """
     spark = members.sparkSession
     shared = cooccurrence_edges(members).select(F.col("src").alias("id"), F.col("via").alias("grp"))
@@ -102,6 +100,7 @@ def shortest_hops(members: DataFrame, source, max_hops: int | None = None) -> Da
         return f"{root}/distance={distance}"
 
     spark.createDataFrame([(source,)], schema).write.parquet(reached(0))
+    stepped = spark.createDataFrame([], shared.select("grp").schema)
     with (
         bucketed(by_id.members, "by-id", *by_id.on) as by_id.members,
         bucketed(by_grp.members, "by-grp", *by_grp.on) as by_grp.members,
@@ -110,9 +109,10 @@ def shortest_hops(members: DataFrame, source, max_hops: int | None = None) -> Da
             if max_hops is not None and distance > max_hops:
                 break
             last = spark.read.schema(schema).parquet(reached(distance - 1))
-            seen = spark.read.schema(schema).parquet(*[reached(d) for d in range(distance)])
-            found = _step(by_id, by_grp, last)
-            found.join(seen, "id", "left_anti").write.parquet(reached(distance))
+            groups = by_id.having(last).select("grp").distinct().join(stepped, "grp", "left_anti")
+            stepped = materialise(groups, "groups")
+            found = by_grp.having(stepped).select("id").distinct().join(last, "id", "left_anti")
+            found.write.parquet(reached(distance))
             if spark.read.schema(schema).parquet(reached(distance)).isEmpty():
                 break
     everyone = spark.read.schema(schema.add("distance", "long")).parquet(root)
@@ -205,6 +205,7 @@ def separation_report(
         return df.select(F.lit(section).alias("section"), nth.cast("long").alias("nth"), line.alias("line"))
 
     first = F.lit(1)
+    # The sentences of the report.
     parts = [
         lines(
             population,

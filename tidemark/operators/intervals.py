@@ -15,7 +15,7 @@ from tidemark.session import materialise
 READ_GAP = 51
 SLAB = 65_536
 INTERSECT_BIN = 1_024
-INTERSECT_SALTS = 128  # a crowded bin may be crowded on both sides, and one side is copied this often
+EQUAL_ROWS = 1_000  # equal intervals that stay together
 
 
 def _islands(spans: DataFrame, gap: int, slab: int) -> DataFrame:
@@ -70,11 +70,19 @@ def merge_intervals_padded(df: DataFrame, pad: int, slab: int = SLAB) -> DataFra
     )
 
 
-def _binned(df: DataFrame, width: int, prefix: str) -> DataFrame:
-    spread = df.filter(F.col("end") > F.col("start")).withColumn(
-        "bin", F.explode(F.sequence(div("start", width), div(F.col("end") - 1, width)))
-    )
-    return spread.select("contig", "bin", F.col("start").alias(f"{prefix}_start"), F.col("end").alias(f"{prefix}_end"))
+def _counted(df: DataFrame, prefix: str) -> DataFrame:
+    """Distinct intervals with how often each occurs, in rows of ``EQUAL_ROWS`` at most: equal rows are then as few in a
+    bin as any others, and rows of a pile are told apart by their number."""
+    spans = df.filter(F.col("end") > F.col("start")).groupBy("contig", "start", "end").agg(F.count("*").alias("n"))
+    piles = spans.withColumn("pile", F.explode(F.sequence(F.lit(0).cast("long"), div(F.col("n") - 1, EQUAL_ROWS))))
+    times = F.least(F.lit(EQUAL_ROWS).cast("long"), F.col("n") - F.col("pile") * EQUAL_ROWS)
+    named = {"start": f"{prefix}_start", "end": f"{prefix}_end", "pile": f"{prefix}_pile", "times": f"{prefix}_times"}
+    return materialise(piles.withColumn("times", times).drop("n").withColumnsRenamed(named), f"spans-{prefix}")
+
+
+def _binned(spans: DataFrame, width: int, prefix: str) -> DataFrame:
+    first, last = div(f"{prefix}_start", width), div(F.col(f"{prefix}_end") - 1, width)
+    return spans.withColumn("bin", F.explode(F.sequence(first, last)))
 
 
 def interval_intersect(a: DataFrame, b: DataFrame, bin_width: int = INTERSECT_BIN) -> DataFrame:
@@ -82,15 +90,14 @@ def interval_intersect(a: DataFrame, b: DataFrame, bin_width: int = INTERSECT_BI
 
     Intervals meet in the bins they cover and the pair is kept in the bin where the overlap begins, so there is no
     comparison beyond the neighbourhood and no row twice. Choose ``bin_width`` near the usual interval length. Crowded
-    bins are split by ``skew_join``.
+    bins are split by ``skew_join``; equal intervals are counted first and repeated at the end.
     """
-    left, right = _binned(a, bin_width, "a"), _binned(b, bin_width, "b")
+    left, right = (_binned(_counted(df, side), bin_width, side) for df, side in ((a, "a"), (b, "b")))
     start, end = F.greatest("a_start", "b_start"), F.least("a_end", "b_end")
-    return (
-        skew_join(left, right, ["contig", "bin"], salts=INTERSECT_SALTS)
-        .filter((start < end) & (F.col("bin") == div(start, bin_width)))
-        .select("contig", start.alias("start"), end.alias("end"), "a_start", "a_end", "b_start", "b_end")
-    )
+    met = skew_join(left, right, ["contig", "bin"]).filter((start < end) & (F.col("bin") == div(start, bin_width)))
+    columns = ["contig", start.alias("start"), end.alias("end"), "a_start", "a_end", "b_start", "b_end"]
+    each = met.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("a_times") * F.col("b_times"))).alias("_nth"))
+    return each.drop("_nth")
 
 
 def to_bed(df: DataFrame, half_open: bool = False) -> DataFrame:

@@ -3,92 +3,98 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.social import script_override, strip_social
-from tidemark.operators.skew import lookup_join
-from tidemark.session import materialise
+from tidemark.operators.skew import SMALL_BYTES, lookup_join
+from tidemark.session import materialise, size_of
 
-PROFILE_SIZE = 1000  # trigrams kept per language
-MAX_LANGUAGES = 1000  # languages told apart in one run; each is a few columns of the plan
 
+def _trigrams(text: str | Column) -> Column:
+    """The trigrams of a text, one per letter: itself with its neighbours, ``_`` standing for the edge of a word."""
+    text = F.col(text) if isinstance(text, str) else text
+    marked = F.concat(F.lit("_"), F.regexp_replace(F.lower(text), r"[^\p{L}]+", "_"), F.lit("_"))
+    chars = F.split(marked, "")
+    n = F.greatest(F.size(chars) - 2, F.lit(0))
+    each = F.arrays_zip(F.slice(chars, 1, n).alias("a"), F.slice(chars, 2, n).alias("b"), F.slice(chars, 3, n).alias("d"))
+    return F.transform(F.filter(each, lambda t: t["b"] != "_"), lambda t: F.concat(t["a"], t["b"], t["d"]))
 
-def _trigrams(df: DataFrame, text: str | Column, *keep: str) -> DataFrame:
-    """One row per letter: itself with its neighbours, ``_`` standing for the edge of a word.
 
-    Texts without letters keep one row with a NULL trigram.
+def lang_profiles(df: DataFrame, text: str, lang: str = "lang", top: int | None = None) -> DataFrame:
+    """(lang, trigram, n): how often each trigram occurs in each language; with ``top`` only its most frequent ones.
+
+    There are as many trigrams as the alphabets allow, whatever the size of the texts.
     """
-    text = F.col(text) if isinstance(text, str) else text
-    marked = F.concat(F.lit("_"), F.regexp_replace(F.lower(text), r"[^\p{L}]+", "_"), F.lit("_"))
-    chars = df.select(*keep, F.split(marked, "").alias("c"))
-    n = F.greatest(F.size("c") - 2, F.lit(0))
-    triples = F.arrays_zip(
-        F.slice("c", 1, n).alias("a"), F.slice("c", 2, n).alias("b"), F.slice("c", 3, n).alias("d")
-    )
-    spread = chars.select(*keep, F.inline_outer(triples).alias("a", "b", "d"))
-    # Kept as NULL where the middle is no letter: count(trigram) is then the number of letters.
-    return spread.select(*keep, F.when(F.col("b") != "_", F.concat("a", "b", "d")).alias("trigram"))
-
-
-def lang_profiles(df: DataFrame, text: str, lang: str = "lang", top: int = PROFILE_SIZE) -> DataFrame:
-    """(lang, trigram, n): the ``top`` most frequent trigrams of each language."""
-    counts = (
-        _trigrams(df, text, lang)
-        .filter(F.col("trigram").isNotNull())
-        .groupBy(F.col(lang).alias("lang"), "trigram")
-        .agg(F.count("*").alias("n"))
-    )
+    each = df.select(F.col(lang).alias("lang"), F.explode(_trigrams(text)).alias("trigram"))
+    counts = each.groupBy("lang", "trigram").agg(F.count("*").alias("n"))
+    if top is None:
+        return counts
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "trigram")
     return counts.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= top).drop("_nth")
 
 
-def detect_lang(df: DataFrame, key: str, text: str | Column, profiles: DataFrame) -> DataFrame:
+@dataclass
+class Profiles:
+    """Profiles as texts are compared with them, written once: for each trigram its languages and counts, and for each
+    language its totals."""
+
+    by_trigram: DataFrame
+    totals: DataFrame
+
+
+def prepare_profiles(profiles: DataFrame) -> Profiles:
+    """To be done once for any number of ``detect_lang``, as in a stream."""
+    profiles = materialise(profiles.filter(F.col("lang").isNotNull() & F.col("trigram").isNotNull()), "profiles")
+    totals = profiles.groupBy("lang").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    by_trigram = profiles.groupBy("trigram").agg(F.collect_list(F.struct("lang", "n")).alias("langs"))
+    return Profiles(materialise(by_trigram, "by-trigram"), materialise(totals, "totals"))
+
+
+def _joined(left: DataFrame, table: DataFrame, on: Sequence[str]) -> DataFrame:
+    """With a written table: broadcast if its files are small."""
+    return left.join(F.broadcast(table), list(on)) if size_of(table) <= SMALL_BYTES else lookup_join(left, table, on)
+
+
+def detect_lang(df: DataFrame, key: str, text: str | Column, profiles: DataFrame | Profiles) -> DataFrame:
     """(key, detected, distance): the language whose profile is nearest to the trigram frequencies of the text.
 
     The squared distance between frequency vectors is |t|^2 + |p|^2 - 2 t.p; |t| does not depend on the language, so
-    one pass that sums t.p for all languages side by side is enough, and ``distance`` is |p|^2 - 2 t.p. The profile
-    table is at most PROFILE_SIZE rows per language and is counted before it is broadcast. Only one row per language
-    (its totals) reaches the driver. NULL where the text has no letters.
+    ``distance`` is |p|^2 - 2 t.p. A language that shares no trigram with the text is at |p|^2; of these only the nearest
+    can be the answer, so a text is compared with those it shares trigrams with and with that one. Texts with the same
+    key count as one. NULL where the text has no letters.
     """
-    profiles = materialise(profiles, "profiles")  # read three times below
-    totals = profiles.groupBy("lang").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.col("n")).alias("squares"))
-    known = totals.orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(known) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    wide = profiles.groupBy("trigram").agg(
-        *[F.sum(F.when(F.col("lang") == k.lang, F.col("n"))).alias(f"n{i}") for i, k in enumerate(known)]
-    )
-    seen = lookup_join(_trigrams(df, text, key), wide, ["trigram"], "left")
-    dots = seen.groupBy(key).agg(
-        F.count("trigram").alias("letters"),
-        *[F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"dot{i}") for i in range(len(known))],
-    )
-    scores = [
-        F.struct(
-            (
-                F.lit(k.squares / (k.total * k.total))
-                - F.lit(2.0) * F.col(f"dot{i}") / (F.col("letters").cast("double") * F.lit(float(k.total)))
-            ).alias("distance"),
-            F.lit(k.lang).alias("lang"),
-        )
-        for i, k in enumerate(known)
-    ]
-    best = F.when(F.col("letters") > 0, F.array_min(F.array(*scores)))
-    return dots.select(key, best.alias("best")).select(
-        key, F.col("best.lang").alias("detected"), F.col("best.distance").alias("distance")
-    )
+    ready = profiles if isinstance(profiles, Profiles) else prepare_profiles(profiles)
+    grams = df.select(key, _trigrams(text).alias("grams")).select(key, F.coalesce("grams", F.array().cast("array<string>")).alias("grams"))
+    texts = grams.groupBy(key).agg(F.sum(F.size("grams")).alias("letters"))
+    seen = grams.select(key, F.explode("grams").alias("trigram")).groupBy(key, "trigram").agg(F.count("*").alias("times"))
+    met = _joined(seen, ready.by_trigram, ["trigram"]).select(key, "times", F.inline("langs").alias("lang", "n"))
+    dots = met.groupBy(key, "lang").agg(F.sum(F.col("times") * F.col("n")).alias("dot"))
+    square = F.col("squares") / (F.col("total").cast("double") * F.col("total").cast("double"))
+    lone = ready.totals.agg(F.min(F.struct(square.alias("distance"), "lang")).alias("v")).scalar()
+    found = _joined(dots.join(texts, key), ready.totals, ["lang"])
+    distance = square - F.lit(2.0) * F.col("dot") / (F.col("letters").cast("double") * F.col("total").cast("double"))
+    nearest = found.groupBy(key).agg(F.min(F.struct(distance.alias("distance"), "lang")).alias("best"))
+    best = F.when(F.col("letters") > 0, F.least(F.coalesce("best", lone), lone))
+    judged = texts.join(nearest, key, "left").select(key, best.alias("best"))
+    return judged.select(key, F.col("best.lang").alias("detected"), F.col("best.distance").alias("distance"))
 
 
 def posts_in(
-    posts: DataFrame, key: str, text: str, profiles: DataFrame, langs: Sequence[str] = ("en", "no")
+    posts: DataFrame, text: str, profiles: DataFrame | Profiles, langs: Sequence[str] = ("en", "no")
 ) -> DataFrame:
-    """Posts in one of these languages, with ``lang``: guessed without mentions and links, corrected by script."""
-    cleaned = posts.select(key, strip_social(text).alias("cleaned"))
-    guessed = detect_lang(cleaned, key, "cleaned", profiles).join(cleaned, key)
-    judged = guessed.select(key, script_override("detected", "cleaned").alias("lang"))
-    return posts.join(keep_languages(judged, langs), key)
+    """Posts in one of these languages, with ``lang``: guessed without mentions and links, corrected by script.
+
+    Each distinct text is judged once and every post with it gets its language, however often it is repeated.
+    """
+    cleaned = strip_social(text)
+    hashed = posts.withColumn("_text", F.sha2(F.coalesce(cleaned, F.lit("")), 256))
+    texts = hashed.groupBy("_text").agg(F.any_value(cleaned).alias("cleaned"))
+    guessed = detect_lang(texts, "_text", "cleaned", profiles).join(texts, "_text")
+    judged = guessed.select("_text", script_override("detected", "cleaned").alias("lang"))
+    return hashed.join(keep_languages(judged, langs), "_text").drop("_text")
 
 
 def keep_languages(df: DataFrame, langs: Sequence[str] = ("en", "no"), lang: str = "lang") -> DataFrame:

@@ -7,32 +7,29 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import materialise
+from tidemark.session import materialise, size_of
 
-HEAVY_LIMIT = 4096  # a key with more than 1/4096 of all rows is always among the 4096 largest
-MAX_SALTS = 8192  # most tasks one key is spread over
 SALT = "_salt"
-MIN_HEAVY_ROWS = 200_000  # smaller groups are no burden for one task; larger ones are cut to this size
-SMALL_ROWS = 500_000  # largest lookup table that is broadcast, checked by counting it
+MIN_HEAVY_ROWS = 200_000  # smaller groups are no burden for one task
+SMALL_BYTES = 16 << 20  # largest lookup table that is broadcast, by the bytes of its written (compressed) files
 
 
-def heavy_keys(
-    weights: DataFrame, on: Sequence[str], weight: str, min_rows: int = MIN_HEAVY_ROWS, salts: int = MAX_SALTS
-) -> DataFrame:
-    """The largest keys of ``weights`` (one row per key) and how many parts each is cut into, as ``_salts``.
+def heavy_keys(weights: DataFrame, on: Sequence[str], weight: str, min_rows: int = MIN_HEAVY_ROWS) -> DataFrame:
+    """The keys of ``weights`` (one row per key) that have more rows than a task should, and how many parts each is cut
+    into, as ``_salts``.
 
-    There are at most ``HEAVY_LIMIT`` of them, so they are safe to broadcast at any size of the input.
+    A key is heavy if it has ``min_rows`` rows and at least what a partition of the shuffle has on average. So there are
+    never more heavy keys than partitions: they are safe to broadcast at any size, and none above the threshold is missed.
+    A key is cut into parts of that size, as many as its rows ask for.
     """
-    return (
-        weights.filter(F.col(weight) >= min_rows)
-        .orderBy(F.desc(weight), *on)
-        .limit(HEAVY_LIMIT)
-        .select(*on, F.least(F.ceil(F.col(weight) / min_rows), F.lit(salts)).cast("int").alias("_salts"))
-    )
+    partitions = int(weights.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = weights.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("v")).scalar()
+    share = F.greatest(F.lit(min_rows).cast("double"), total / F.lit(float(partitions)))
+    return weights.filter(F.col(weight) >= share).select(*on, F.ceil(F.col(weight) / share).cast("int").alias("_salts"))
 
 
 def _flagged(df: DataFrame, on: Sequence[str], heavy: DataFrame) -> DataFrame:
-    """Add ``_salts``, NULL on rows of keys that are not heavy: a join with ``HEAVY_LIMIT`` rows at most."""
+    """Add ``_salts``, NULL on rows of keys that are not heavy: a join with as many rows as partitions at most."""
     return df.join(F.broadcast(heavy), list(on), "left")
 
 
@@ -56,15 +53,14 @@ def skew_join(
     weights: DataFrame | None = None,
     weight: str = "count",
     heavy: DataFrame | None = None,
-    salts: int = MAX_SALTS,
     min_rows: int = MIN_HEAVY_ROWS,
 ) -> DataFrame:
-    """Join on equal keys; rows of a heavy left key are cut into parts of about ``min_rows`` (at most ``salts`` parts),
-    its right rows are copied to each part. Meant for a right side with few rows per key, best one.
+    """Join on equal keys; rows of a heavy left key are cut into parts (see ``heavy_keys``), its right rows are copied to
+    each part. Meant for a right side with few rows per key, best one.
 
     ``weights`` (keys plus left row count) saves the counting pass over ``left`` when the caller has it already, and
     ``heavy`` is the result of ``heavy_keys`` itself. The salt is a hash of the row, so a task that is run again puts
-    every row where it was before.
+    every row where it was before. Equal rows get equal salts: count them first where a key may consist of them.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
@@ -72,19 +68,19 @@ def skew_join(
     if heavy is None:
         if weights is None:
             weights, weight = left.groupBy(*on).count(), "count"
-        heavy = heavy_keys(weights, on, weight, min_rows, salts)
+        heavy = heavy_keys(weights, on, weight, min_rows)
     spread, copied = spread_heavy(left, on, heavy), copy_heavy(right, on, heavy)
     return spread.join(copied, [*on, SALT], how).drop(SALT)
 
 
 def lookup_join(
-    left: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner", small_rows: int = SMALL_ROWS
+    left: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner", small_bytes: int = SMALL_BYTES
 ) -> DataFrame:
-    """Join a large side with a lookup table: broadcast if it was counted to be small, else ``skew_join``.
+    """Join a large side with a lookup table: broadcast if its files are small, else ``skew_join``.
 
-    The table is written first, so it is computed once and its count comes from the file footers.
+    The table is written first, so it is computed once and its bytes are known.
     """
     table = materialise(table, "lookup")
-    if table.count() <= small_rows:
+    if size_of(table) <= small_bytes:
         return left.join(F.broadcast(table), list(on), how)
     return skew_join(left, table, on, how)

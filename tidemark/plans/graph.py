@@ -85,12 +85,17 @@ def shortest_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.shortest_hops(_members(spark, sf_dir), _root(spark, sf_dir))
 
 
+def _near(spark: SparkSession, sf_dir: str, hops: int) -> DataFrame:
+    """Distances up to what is asked for."""
+    return graph.shortest_hops(_members(spark, sf_dir), _root(spark, sf_dir), max_hops=hops)
+
+
 def population_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.population_summary(_vertices(spark, sf_dir), _members(spark, sf_dir))
 
 
 def distance_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.distance_histogram(shortest_hops(spark, sf_dir), _vertices(spark, sf_dir))
+    return graph.distance_histogram(_near(spark, sf_dir, graph.MAX_DISTANCE), _vertices(spark, sf_dir))
 
 
 def distance_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,12 +104,12 @@ def distance_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def at_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    people = graph.at_distance(shortest_hops(spark, sf_dir), _vertices(spark, sf_dir), AT)
+    people = graph.at_distance(_near(spark, sf_dir, AT), _vertices(spark, sf_dir), AT)
     return graph.numbered_names(people).orderBy("is_male", "nth")
 
 
 def separation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    distances = shortest_hops(spark, sf_dir)
+    distances = _near(spark, sf_dir, AT)
     report = graph.separation_report(distances, _vertices(spark, sf_dir), _members(spark, sf_dir), AT)
     return report.orderBy("section", "nth")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.alignments import bad_quality, fix_quality
 from tidemark.operators import blocks, density, intervals, variants
 from tidemark.plans.tables import table
-from tidemark.session import materialise, scratch_path, spread_small
+from tidemark.session import materialise, scratch_path
 from tidemark.sources import genomic, sinks
 
 CONTIGS = 25
@@ -47,7 +47,7 @@ def _qname():
 def _sam_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One alignment line per line item; returned ones are unmapped, qualities are of both encodings."""
     quality = F.when(F.col("l_linestatus") == "F", F.lit("I")).when(F.col("l_linenumber") == 1, F.lit("5h")).otherwise("hU")
-    return _placed(spread_small(table(spark, sf_dir, "lineitem"))).select(
+    return _placed(table(spark, sf_dir, "lineitem")).select(
         F.concat_ws(
             "\t",
             _qname(),
@@ -81,7 +81,7 @@ def _vcf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("chr"),
         F.when(number == 22, F.lit("X")).when(number == 23, F.lit("Y")).when(number == 24, F.lit("M")).otherwise(_str("idx")),
     )
-    return _placed(spread_small(table(spark, sf_dir, "lineitem"))).select(
+    return _placed(table(spark, sf_dir, "lineitem")).select(
         F.concat_ws("\t", chrom, _str("pos"), F.lit("."), "l_returnflag", "l_linestatus", _str("l_partkey")).alias("value"),
         "l_discount",
         "l_tax",

@@ -51,10 +51,10 @@ def phone_extract_us(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phones.extract_phones(texts, "text", "origin", "id", country="1", digits=10)
 
 
-def _archives(pages: DataFrame) -> DataFrame:
-    """Manifest of packed archives written from the pages: an HTTP response and a record without target for each."""
+def _archives(pages: DataFrame) -> str:
+    """Folder of packed archives written from the pages: an HTTP response and a record without target for each."""
     spark = pages.sparkSession
-    folder, manifest = scratch_path(spark, "archives"), scratch_path(spark, "manifest")
+    folder = scratch_path(spark, "archives")
     block = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"), "html")
     record = F.concat(
         F.lit("WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 5\r\n\r\nabout\r\n\r\n"),
@@ -65,21 +65,27 @@ def _archives(pages: DataFrame) -> DataFrame:
         F.lit("\r\n\r\n"),
         block,
     )
-    written = pages.repartition(8, "url").select(record.alias("value"))
+    written = pages.repartition("url").select(record.alias("value"))
     written.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(folder)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("path")
-    files.write.text(manifest)
+    return f"{folder}/*.gz"
+
+
+def _manifest(spark: SparkSession, archives_path: str) -> DataFrame:
+    """Their addresses, one a line."""
+    manifest = scratch_path(spark, "manifest")
+    spark.read.format("binaryFile").load(archives_path).select("path").write.text(manifest)
     return read_manifest(spark, manifest)
 
 
 def warc_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = archives.scan_warc(_archives(table(spark, sf_dir, "pages")))
+    found = archives.scan_warc(_manifest(spark, _archives(table(spark, sf_dir, "pages"))))
     return found.select("target_uri", "payload")
 
 
 def warc_phone_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From archives to the phone index."""
-    found = phones.extract_phones(archives.scan_warc(_archives(_dutch_pages(spark, sf_dir))), "payload", "target_uri")
+    """From archives to the phone index; the archives are opened by Spark, in whatever file system they are."""
+    records = archives.scan_archive_files(spark, _archives(_dutch_pages(spark, sf_dir))).filter("failure is null")
+    found = phones.extract_phones(records, "payload", "target_uri")
     return phones.phone_index(found, "target_uri", URLS_PER_ROW)
 
 

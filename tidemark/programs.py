@@ -35,7 +35,7 @@ def separation(spark: SparkSession, males: str, females: str, output: str, root:
     """Report on how many films away from the person named ``root`` everybody is, as text."""
     vertices, members = graph.build_graph(cast.parse_casts(read_records(spark, males), read_records(spark, females)))
     vertices, members = materialise(vertices, "vertices"), materialise(members, "members")
-    distances = graph.shortest_hops(members, graph.find_root(vertices, root))
+    distances = graph.shortest_hops(members, graph.find_root(vertices, root), graph.MAX_DISTANCE)
     sinks.write_lines(graph.separation_report(distances, vertices, members), output, order=["section", "nth"])
 
 
@@ -59,16 +59,13 @@ def chunk_arrivals(spark: SparkSession, folder: str, output: str, checkpoint: st
 def read_groups(
     spark: SparkSession, sam: str, dictionary: str, densities: str, output: str, groups: int = blocks.GROUPS
 ) -> None:
-    """Mapped reads in blocks, the blocks in groups of even weight: Parquet, one folder per group.
-
-    Blocks without known variants have no weight of their own; their reads go with group 1.
-    """
+    """Mapped reads in blocks, the blocks in groups of even weight: Parquet, one folder per group."""
     contigs = materialise(genomic.read_dict(spark, dictionary), "contigs")
     reads = materialise(blocks.mapped_reads(genomic.with_extent(genomic.read_sam(spark, sam)), contigs), "reads")
-    weights = blocks.block_weights(blocks.read_counts(reads), genomic.read_density(spark, densities), contigs)
+    weights = blocks.all_block_weights(blocks.read_counts(reads), genomic.read_density(spark, densities), contigs)
     dealt = blocks.balanced_groups(weights, groups).select("idx", "block", "group")
-    placed = blocks.lookup_join(blocks.block_slices(reads, contigs), dealt, ["idx", "block"], "left")
-    placed.withColumn("group", F.coalesce("group", F.lit(1))).write.partitionBy("group").parquet(output)
+    placed = blocks.lookup_join(blocks.block_slices(reads, contigs), dealt, ["idx", "block"])
+    placed.write.partitionBy("group").parquet(output)
 
 
 def group_regions(spark: SparkSession, reads: str, targets: str, output: str) -> None:
@@ -117,13 +114,11 @@ def trending(
     )
     stream = hashtags.flatten_retweets(trends.read_posts_stream(spark, posts, schema))
     growth = trends.retweet_growth_stream(stream, length, slide, delay)
-    known = spark.read.parquet(profiles)
+    known = language.prepare_profiles(spark.read.parquet(profiles))  # once, not for every batch
 
     def report(tagged: DataFrame) -> DataFrame:
-        # the text of a post does not change, so judging it once per closed window comes to the same
-        texts = tagged.select("id", "text").distinct().groupBy("id").agg(F.max("text").alias("text"))
-        english = language.posts_in(texts, "id", "text", known).select("id")
-        return hashtags.trend_of_tags(tagged.join(english, "id", "left_semi"))
+        # each distinct text of the closed windows is judged once
+        return hashtags.trend_of_tags(language.posts_in(tagged, "text", known).select(*tagged.columns))
 
     trigger = {"processingTime": every} if every else {"availableNow": True}
     trends.write_trends_stream(growth, output, checkpoint, report, **trigger).awaitTermination()

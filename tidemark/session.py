@@ -58,35 +58,23 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{_run_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def _size(df: DataFrame) -> int:
+def size_of(df: DataFrame) -> int:
     """Bytes of the table as the planner estimates them; for files, what they take."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Give every core a part of a small input to heavy work on each row: a file of one row group is one task.
-
-    An input with a full split (``spark.sql.files.maxPartitionBytes``) or more per core is left where it is.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = df._jdf.sparkSession().sessionState().conf().filesMaxPartitionBytes()
-    return df.repartition(cores) if _size(df) < cores * split else df
-
-
 @contextmanager
 def bucketed(df: DataFrame, label: str, *columns: str) -> Iterator[DataFrame]:
     """``df`` written in buckets of these columns, one task per bucket: joins on them do not shuffle it again.
 
-    There are as many buckets as the size asks for, at least one per core and at most one per shuffle partition.
+    There are as many buckets as the size asks for, at least one per core.
 
     The table is known to the session catalogue while the context is open; its files stay in the scratch folder.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     name = "tidemark_" + path.rsplit("/", 1)[1].replace("-", "_")
-    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = min(most, max(spark.sparkContext.defaultParallelism, _size(df) // BUCKET_BYTES))
+    buckets = max(spark.sparkContext.defaultParallelism, -(-size_of(df) // BUCKET_BYTES))
     laid = df.repartition(buckets, *columns).write.format("parquet").option("path", path)
     laid.bucketBy(buckets, *columns).sortBy(*columns).saveAsTable(name)
     try:

@@ -13,27 +13,33 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Observation
+from pyarrow import ArrowInvalid
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "source string, target_uri string, payload string, failure string"
 _BATCH_BYTES = 16 << 20
 
-# Archives of other schemes than these are passed over; form of an object store address.
+# Schemes that are read without a Hadoop file system; form of an object store address.
 _FILE_SCHEME, _STORE_SCHEME = "file:", "s3:/"
 _STORE_URI = re.compile(r"^s3://([^/]+)/(.+)")
 
 
 def _open(uri: str):
-    """Seekable byte stream of an archive."""
+    """Seekable byte stream of an archive in a local folder or a public store; of another scheme by Arrow's file systems."""
     from pyarrow import fs
 
     if uri.startswith(_FILE_SCHEME):
-        return fs.LocalFileSystem().open_input_file(uri[len(_FILE_SCHEME) :])
-    bucket_key = _STORE_URI.match(uri)
-    if bucket_key is None:
-        raise ValueError(f"not an object address: {uri}")
-    return fs.S3FileSystem(anonymous=True).open_input_file("/".join(bucket_key.groups()))
+        return fs.LocalFileSystem().open_input_file(re.sub(r"^file:/*", "/", uri))
+    if uri.startswith(_STORE_SCHEME):
+        bucket_key = _STORE_URI.match(uri)
+        if bucket_key is None:
+            raise ValueError(f"not an object address: {uri}")
+        return fs.S3FileSystem(anonymous=True).open_input_file("/".join(bucket_key.groups()))
+    if "://" not in uri:
+        raise LookupError(f"no scheme: {uri}")
+    system, path = fs.FileSystem.from_uri(uri)  # hdfs:, gs:, abfs: ..; unknown ones raise
+    return system.open_input_file(path)
 
 
 def _header_block(stream) -> dict[str, str]:
@@ -100,15 +106,25 @@ def _records(raw) -> Iterator[tuple[str, bytes]]:
 
 
 def _archive_rows(uri: str) -> Iterator[tuple]:
-    if not uri.startswith((_FILE_SCHEME, _STORE_SCHEME)):
+    try:
+        raw = _open(uri)
+    except (ArrowInvalid, LookupError):  # no file system for it
+        yield uri, None, None, "skipped"
+        return
+    except Exception:
+        yield uri, None, None, "segment"
         return
+    with raw:
+        yield from _rows_of(uri, raw)
+
+
+def _rows_of(uri: str, raw) -> Iterator[tuple]:
     try:
-        with _open(uri) as raw:
-            for target, payload in _records(raw):
-                try:
-                    yield uri, target, payload.decode("utf-8"), None
-                except UnicodeDecodeError:
-                    yield uri, target, None, "record"
+        for target, payload in _records(raw):
+            try:
+                yield uri, target, payload.decode("utf-8"), None
+            except UnicodeDecodeError:
+                yield uri, target, None, "record"
     except Exception:  # whatever is wrong with an archive must not end the job: it is counted instead
         yield uri, None, None, "segment"
 
@@ -131,11 +147,24 @@ def scan_archives(manifest: DataFrame) -> DataFrame:
     """(source, target_uri, payload, failure): all records, and a row for each failure.
 
     ``failure`` is NULL for good records, ``record`` for a payload that is no UTF-8, ``segment`` for an archive that
-    could not be opened or read to its end (the records before the damage are kept).
+    could not be opened or read to its end (the records before the damage are kept), ``skipped`` for an address of a
+    scheme without a file system. For those, read the bytes through Spark: ``scan_archive_files``.
     """
     return manifest.select("uri").mapInPandas(_scan, SCHEMA)
 
 
+def _scan_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for uri, content in zip(batch["path"], batch["content"]):
+            yield pd.DataFrame(list(_rows_of(uri, io.BytesIO(content))), columns=["source", "target_uri", "payload", "failure"])
+
+
+def scan_archive_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Like ``scan_archives`` for archives that Spark opens itself, of any scheme that it has a file system for. An archive
+    is a row, so it must fit into a task's memory (and be below two gigabytes)."""
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_scan_bytes, SCHEMA)
+
+
 def scan_warc(manifest: DataFrame) -> DataFrame:
     """(source, target_uri, payload) of the good records."""
     return scan_archives(manifest).filter(F.col("failure").isNull()).drop("failure")
@@ -148,5 +177,6 @@ def observed_scan(manifest: DataFrame) -> tuple[DataFrame, Observation]:
         counters,
         F.count_if(F.col("failure") == "segment").alias("failed_segments"),
         F.count_if(F.col("failure") == "record").alias("failed_records"),
+        F.count_if(F.col("failure") == "skipped").alias("skipped_archives"),
     )
     return watched.filter(F.col("failure").isNull()).drop("failure"), counters

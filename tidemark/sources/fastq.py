@@ -30,9 +30,10 @@ def read_fastq_pair(spark: SparkSession, path1: str, path2: str) -> DataFrame:
         sides[0]
         .unionByName(sides[1])
         .groupBy("read")
-        .agg(*[F.max(F.when(F.col("slot") == i, F.col("value"))).alias(c) for i, c in enumerate(PAIR_LINES)])
+        .agg(F.array_sort(F.collect_list(F.struct("slot", "value"))).alias("lines"))  # eight at most
+        .filter(F.size("lines") == len(PAIR_LINES))
     )
-    return pairs.dropna(subset=PAIR_LINES)
+    return pairs.select("read", *[F.col("lines")[i]["value"].alias(c) for i, c in enumerate(PAIR_LINES)])
 
 
 def fastq_chunks(pairs: DataFrame, reads_per_chunk: int = READS_PER_CHUNK) -> DataFrame:

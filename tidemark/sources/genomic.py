@@ -29,12 +29,12 @@ def parse_sam(lines: DataFrame) -> DataFrame:
         _field(0).alias("qname"),
         _field(1).try_cast("int").alias("flag"),
         _field(2).alias("contig"),
-        _field(3).try_cast("int").alias("pos"),
+        _field(3).try_cast("long").alias("pos"),
         _field(4).try_cast("int").alias("mapq"),
         _field(5).alias("cigar"),
         _field(6).alias("rnext"),
-        _field(7).try_cast("int").alias("pnext"),
-        _field(8).try_cast("int").alias("tlen"),
+        _field(7).try_cast("long").alias("pnext"),
+        _field(8).try_cast("long").alias("tlen"),
         _field(9).alias("seq"),
         _field(10).alias("qual"),
         F.slice("f", F.lit(12), F.size("f")).alias("tags"),

@@ -19,8 +19,8 @@ def write_parquet(df: DataFrame, path: str) -> None:
 
 
 def write_phone_index(index: DataFrame, path: str) -> None:
-    """Parquet (num, urls), both strings."""
-    index.select("num", "urls").write.parquet(path)
+    """Parquet (num, part, urls): the parts of a number in order are its list."""
+    index.select("num", "part", "urls").write.parquet(path)
 
 
 def density_lines(density: DataFrame) -> DataFrame:

@@ -21,17 +21,23 @@ def retweet_growth_stream(
     posts: DataFrame, length: int = 120, slide: int = 2, delay: int = 10, latest_by: Sequence[str] = ("ts",)
 ) -> DataFrame:
     """``retweet_growth`` over event time. A post may be up to ``delay`` seconds late; a window is given out once,
-    when no post can reach it any more, and all its rows together."""
-    window = F.window("ts", f"{length} seconds", f"{slide} seconds")
-    grown = (
+    when no post can reach it any more, and all its rows together.
+
+    Two aggregates in a row: posts are first reduced to one row per id and slide, and only what a closed slide leaves is
+    copied into the windows that it is part of."""
+    slots = (
         posts.withWatermark("ts", f"{delay} seconds")
-        .groupBy(window, "id")
+        .groupBy(F.window("ts", f"{slide} seconds").alias("slot"), "id")
         .agg(
             F.max("rt").alias("max_rt"),
             F.min("rt").alias("min_rt"),
             F.max(F.struct(*latest_by, "user", "text")).alias("latest"),
         )
     )
+    window = F.window(F.window_time("slot"), f"{length} seconds", f"{slide} seconds")
+    grown = slots.groupBy(window.alias("window"), "id").agg(
+        F.max("max_rt").alias("max_rt"), F.min("min_rt").alias("min_rt"), F.max("latest").alias("latest")
+    )
     return grown.select(
         F.col("window.start").alias("window_start"),
         F.col("window.end").alias("window_end"),
