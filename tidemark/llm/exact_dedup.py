@@ -20,12 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import first_row_number, whole_text
-from tidemark.session import _size
+from tidemark.session import size_of
 
 LOCAL_BYTES = 24 << 20  # texts that a task gathers before it sends what it has
 TRIE_BYTES = 48 << 20  # texts in a task's tries before a subtree goes to a file
 PART_BYTES = 32 << 20  # input bytes for which there is a part of the shuffle
 IDS_PER_ROW = 1000
+UNKNOWN_SIZE = 1 << 60  # what the planner estimates for rows that are not from files is no size
 SMALLEST = -(1 << 63)
 
 
@@ -220,7 +221,8 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("_id"), F.col(key).isNull().alias("_null"), whole_text(F.col(text)).alias("_text"))
     groups = rows.mapInPandas(_local_groups(True), "n_bytes long, sha string, text binary, top long, first long, n long")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), _size(docs) // PART_BYTES + 1)
+    size = size_of(docs)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES + 1 if size < UNKNOWN_SIZE else 0)
     owners = groups.repartition(parts, "n_bytes", "sha").mapInPandas(_owners, "sha string, top long, first long, n long")
     ids = rows.mapInPandas(_local_groups(False), "sha string, ids array<long>, numbers array<long>")
     each = ids.join(owners, "sha").select("sha", "top", "first", "n", F.explode(F.arrays_zip("ids", "numbers")).alias("_r"))
