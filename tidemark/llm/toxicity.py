@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tidemark.llm.common import whole_text
+from tidemark.llm.common import draw, whole_text
 from tidemark.session import materialise
 
 #: Bound on the labelled rows that the lexicon and the score are fitted on, the first by a hash of the id.
@@ -34,6 +35,7 @@ LEXICON_SIZE = 5_000  # the strongest words; a bound on what is sent to the task
 SMOOTHING = 0.5
 #: An entry's share among toxic rows must exceed that among others by so many standard errors, beginnings by more.
 DIFFERENCE, DIFFERENCE_BEGINNING = 2.2, 4.0
+COUNTED_ROWS = 1000  # rows whose words a task adds up at a time
 BEGINNINGS = (5, 6, 7)  # letters of the beginnings that are tried
 THRESHOLD = 0.3
 
@@ -137,21 +139,24 @@ def scorer(lexicon: Lexicon) -> Callable[[Column], Column]:
 
 
 def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents per word and label, added up per batch before they are shuffled."""
+    """Documents per entry and label, added up before they are shuffled."""
     for batch in batches:
-        counts: dict[str, list[int]] = {}
-        for text, toxic in zip(batch["text"], batch["toxic"]):
-            words = set(_WORD.findall(fold(text)))
-            begun = {w[:n] + "*" for n in BEGINNINGS for w in words if len(w) >= n}
-            for word in words | begun:
-                counts.setdefault(word, [0, 0])[toxic] += 1
-        yield pd.DataFrame([(w, n[1], n[0]) for w, n in counts.items()], columns=["word", "toxic", "clean"])
+        for at in range(0, len(batch), COUNTED_ROWS):
+            counts = Counter[str](), Counter[str]()
+            part = batch.iloc[at : at + COUNTED_ROWS]
+            for text, toxic in zip(part["text"], part["toxic"]):
+                words = set(_WORD.findall(fold(text)))
+                counts[toxic].update(words)
+                counts[toxic].update({w[:n] + "*" for n in BEGINNINGS for w in words if len(w) >= n})
+            for toxic, found in enumerate(counts):
+                yield pd.DataFrame({"word": list(found), "toxic": list(found.values()) if toxic else 0, "clean": 0 if toxic else list(found.values())})
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """At most ``rows`` documents with a label (text, toxic 0/1), the first by a hash of their id; written once."""
     labels = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
-    chosen = labels.orderBy(F.xxhash64("_id"), "_id").limit(rows)
+    share = min(1.0, (1.5 * rows + 100) / max(labels.count(), 1))  # rows beyond it cannot be among the first
+    chosen = labels.where(draw("_id") <= share).orderBy(draw("_id"), "_id").limit(rows)
     docs = docs.select(F.col("doc_id").alias("_id"), whole_text(F.col("text")).alias("text"))
     return materialise(docs.join(F.broadcast(chosen), "_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic")), "labelled")
 
