@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.words import ends_with_mark, has_letter, starts_with_mark, strip_edges, tokens
@@ -15,21 +15,21 @@ def text_lines(df: DataFrame, text: str) -> DataFrame:
 
 
 def _neighbours(lines: DataFrame, line: str = "value") -> DataFrame:
-    """Each lower-case token next to the one before it; NULL stands for the start and for the end of the line."""
-    edge = F.lit(None).cast("string")
-    padded = lines.select(tokens(F.lower(line)).alias("tokens"))
-    pairs = padded.select(
-        F.inline(
-            F.arrays_zip(
-                F.array_prepend("tokens", edge).alias("left"),
-                F.array_append("tokens", edge).alias("right"),
-            )
-        ).alias("left", "right")
-    )
+    """Each lower-case token next to the one before it, as ``left`` and ``right``: its word and edge marks, worked out once
+    per token. NULL stands for the start and for the end of the line."""
+
+    def judged(token: Column) -> Column:
+        marks = {"starts": starts_with_mark(token), "ends": ends_with_mark(token), "valid": has_letter(token)}
+        return F.struct(strip_edges(token).alias("word"), *[c.alias(n) for n, c in marks.items()])
+
+    each = lines.select(F.transform(tokens(F.lower(line)), judged).alias("t"))
+    edge = F.lit(None).cast("struct<word:string,starts:boolean,ends:boolean,valid:boolean>")
+    both = F.arrays_zip(F.array_prepend("t", edge).alias("left"), F.array_append("t", edge).alias("right"))
+    pairs = each.select(F.inline(both).alias("left", "right"))
     # a pair counts if both its tokens hold a word (the ends of the line count as words)
     return pairs.filter(
-        F.coalesce(has_letter("left"), F.lit(True))
-        & F.coalesce(has_letter("right"), F.lit(True))
+        F.coalesce("left.valid", F.lit(True))
+        & F.coalesce("right.valid", F.lit(True))
         & (F.col("left").isNotNull() | F.col("right").isNotNull())
     )
 
@@ -40,12 +40,12 @@ def bigrams(lines: DataFrame, line: str = "value") -> DataFrame:
     ``first`` is NULL at the start of a line and ``second`` is NULL at its end.
     """
     return _neighbours(lines, line).select(
-        strip_edges("left").alias("first"),
-        starts_with_mark("left").alias("first_starts"),
-        ends_with_mark("left").alias("first_ends"),
-        strip_edges("right").alias("second"),
-        starts_with_mark("right").alias("second_starts"),
-        ends_with_mark("right").alias("second_ends"),
+        F.col("left.word").alias("first"),
+        F.col("left.starts").alias("first_starts"),
+        F.col("left.ends").alias("first_ends"),
+        F.col("right.word").alias("second"),
+        F.col("right.starts").alias("second_starts"),
+        F.col("right.ends").alias("second_ends"),
     )
 
 
@@ -54,15 +54,15 @@ def word_counts(lines: DataFrame, line: str = "value") -> DataFrame:
     return (
         _neighbours(lines, line)
         .filter(F.col("left").isNotNull())
-        .groupBy(strip_edges("left").alias("word"))
+        .groupBy(F.col("left.word").alias("word"))
         .agg(F.count("*").alias("n"))
     )
 
 
 def _predecessor():
     """The left word, or '' where a line start or a mark between the two words hides it."""
-    hidden = F.col("left").isNull() | ends_with_mark("left") | starts_with_mark("right")
-    return F.when(hidden, F.lit("")).otherwise(strip_edges("left"))
+    hidden = F.col("left").isNull() | F.col("left.ends") | F.col("right.starts")
+    return F.when(hidden, F.lit("")).otherwise(F.col("left.word"))
 
 
 def word_predecessors(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -70,8 +70,8 @@ def word_predecessors(lines: DataFrame, line: str = "value") -> DataFrame:
     return (
         _neighbours(lines, line)
         .filter(F.col("left").isNotNull() & F.col("right").isNotNull())
-        .filter(~ends_with_mark("left") & ~starts_with_mark("right"))
-        .groupBy(strip_edges("right").alias("word"), strip_edges("left").alias("pred"))
+        .filter(~F.col("left.ends") & ~F.col("right.starts"))
+        .groupBy(F.col("right.word").alias("word"), F.col("left.word").alias("pred"))
         .agg(F.count("*").alias("n"))
     )
 
@@ -86,8 +86,8 @@ def word_freq_report(lines: DataFrame, line: str = "value") -> DataFrame:
     said = _neighbours(lines, line).select(
         F.explode(
             F.array(
-                F.struct(strip_edges("left").alias("word"), F.lit(None).cast("string").alias("pred")),
-                F.struct(strip_edges("right").alias("word"), _predecessor().alias("pred")),
+                F.struct(F.col("left.word").alias("word"), F.lit(None).cast("string").alias("pred")),
+                F.struct(F.col("right.word").alias("word"), _predecessor().alias("pred")),
             )
         ).alias("s")
     )

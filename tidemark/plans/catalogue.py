@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ("words", "social", "web", "positions", "graph", "streams")
+FAMILIES = ("words", "social", "web", "positions", "graph", "streams", "files")
 
 
 def _modules():

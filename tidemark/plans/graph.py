@@ -29,7 +29,7 @@ def _vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _records(orders: DataFrame, is_male: bool) -> DataFrame:
+def cast_records(orders: DataFrame, is_male: bool) -> DataFrame:
     """Cast records, one per order: a film, a series, a title that hides its year, and a film with a suffix."""
     year = F.year("o_orderdate")
     return orders.filter((F.col("o_custkey") % 2 == 0) == F.lit(is_male)).select(
@@ -53,7 +53,7 @@ def _records(orders: DataFrame, is_male: bool) -> DataFrame:
 
 def cast_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
-    return cast.parse_casts(_records(orders, True), _records(orders, False))
+    return cast.parse_casts(cast_records(orders, True), cast_records(orders, False))
 
 
 def cast_graph(spark: SparkSession, sf_dir: str) -> DataFrame:

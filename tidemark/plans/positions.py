@@ -187,7 +187,7 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = _day("o_orderdate") * 100 + F.col("o_custkey") % 100
     return table(spark, sf_dir, "orders").select(
         F.concat(F.lit("s"), (F.col("o_custkey") % CONTIGS).cast("string")).alias("contig"),
@@ -205,7 +205,7 @@ def merge_intervals_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def interval_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.interval_intersect(_targets(spark, sf_dir), merge_intervals(spark, sf_dir))
+    return intervals.interval_intersect(targets(spark, sf_dir), merge_intervals(spark, sf_dir))
 
 
 def bed_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,10 +220,15 @@ def region_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.region_envelope(merge_intervals(spark, sf_dir), F.col("contig").alias("name"))
 
 
-def vcf_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vcf_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants read from a file of them."""
     path = scratch_path(spark, "vcf")
     _vcf_lines(spark, sf_dir).select("value").write.text(path)
-    return variants.sorted_variants(genomic.read_vcf(spark, path))
+    return genomic.read_vcf(spark, path)
+
+
+def vcf_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.sorted_variants(vcf_variants(spark, sf_dir))
 
 
 def _two_callers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

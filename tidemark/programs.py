@@ -70,15 +70,14 @@ def read_groups(
 
 def group_regions(spark: SparkSession, reads: str, targets: str, output: str) -> None:
     """Regions the reads of each group cover (``output/regions``, BED lines by group), and what they share with the
-    target intervals (``output/targets``, BED)."""
+    target intervals (``output/targets``, BED with the header of the targets)."""
     covered = spark.read.parquet(reads).select("group", "contig", F.col("pos").cast("long").alias("start"), "end")
     regions = materialise(intervals.merge_intervals(covered, by=["group"]), "regions")
     lines = regions.orderBy("group", "contig", "start").select("group", bed_string().alias("value"))
     lines.write.partitionBy("group").text(f"{output}/regions")
     shifted = regions.select("contig", (F.col("start") - 1).alias("start"), (F.col("end") - 1).alias("end"))
-    shared = intervals.interval_intersect(genomic.read_bed(spark, targets), shifted).orderBy("contig", "start", "end")
-    body = shared.select(F.concat_ws("\t", "contig", F.col("start").cast("string"), F.col("end").cast("string")).alias("line"))
-    sinks.write_lines(body, f"{output}/targets")
+    shared = intervals.interval_intersect(genomic.read_bed(spark, targets), shifted)
+    sinks.write_bed_with_header(genomic.bed_header(spark, targets), shared, f"{output}/targets")
 
 
 def sorted_calls(spark: SparkSession, calls: str, output: str) -> None:

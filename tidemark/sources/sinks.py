@@ -42,5 +42,14 @@ def write_bed(regions: DataFrame, path: str, half_open: bool = False) -> None:
     to_bed(regions.orderBy("contig", "start"), half_open).write.text(path)
 
 
+def write_bed_with_header(header: DataFrame, regions: DataFrame, path: str) -> None:
+    """Header lines (value) in front of half-open regions in order; the regions are written as they stand."""
+    line = F.concat_ws("\t", "contig", F.col("start").cast("string"), F.col("end").cast("string"))
+    none = F.lit(None)
+    head = header.select(F.lit(0).alias("part"), none.cast("string").alias("contig"), none.cast("long").alias("start"), none.cast("long").alias("end"), F.col("value").alias("line"))
+    body = regions.select(F.lit(1).alias("part"), "contig", "start", "end", line.alias("line"))
+    write_lines(head.unionByName(body), path, order=["part", "contig", "start", "end", "line"])
+
+
 def write_regions(regions: DataFrame, path: str) -> None:
     to_region(regions.orderBy("contig", "start")).write.text(path)

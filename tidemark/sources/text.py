@@ -26,14 +26,13 @@ def read_manifest(spark: SparkSession, path: str, partitions: int | None = None)
 
 
 def _by_number() -> Column:
-    """Order of the last part of ``file``: part-10001 before part-100000. Runs of digits are made equally long."""
-    name = F.regexp_extract("file", r"([^/]*)$", 1)
-    runs = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(1))
+    """Order of the paths: part-10001 before part-100000, chunk=9 before chunk=10. Runs of digits are made equally long."""
+    runs = F.regexp_extract_all("file", F.lit(r"(\d+|\D+)"), F.lit(1))
     return F.array_join(F.transform(runs, lambda run: F.when(run.rlike(r"^\d"), F.lpad(run, 40, "0")).otherwise(run)), "")
 
 
 def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value, line_no): lines with their number from 0, files in order of the numbers in their names, then the names.
+    """(value, line_no): lines with their number from 0, files in order of their paths, numbers in them by value.
 
     Every split of a file numbers its own lines; a first pass over the splits counts them, and the running sum of
     those counts (one row per split, so one per 128 MB of text) is where each split starts.
@@ -45,6 +44,6 @@ def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("at"),
     )
     splits = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("lines"))
-    before = Window.orderBy(F.regexp_extract("file", r"^(.*/)", 1), _by_number(), "file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(_by_number(), "file", "block").rowsBetween(Window.unboundedPreceding, -1)
     starts = splits.select("file", "block", (F.coalesce(F.sum("lines").over(before), F.lit(0)) - F.col("first")).alias("shift"))
     return lines.join(starts, ["file", "block"]).select("value", (F.col("at") + F.col("shift")).alias("line_no"))
