@@ -66,7 +66,7 @@ def test_genome_programs(spark, tmp_path):
 
     targets = put(tmp_path, "t.bed", "track x\nchr1\t50\t400050\nchr2\t0\t9\n")
     programs.group_regions(spark, reads, targets, str(tmp_path / "regions"))
-    assert text_of(tmp_path / "regions" / "targets") == ["chr1\t50\t99", "chr1\t400000\t400050"]
+    assert text_of(tmp_path / "regions" / "targets") == ["track x", "chr1\t50\t99", "chr1\t400000\t400050"]
     assert sum(len(text_of(p)) for p in glob.glob(str(tmp_path / "regions" / "regions" / "group=*"))) == 100
 
 
