@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import materialise
@@ -12,6 +12,7 @@ from tidemark.session import materialise
 FOLDS, HELD_OUT = 4, 2
 #: Row numbers made in tasks: the partition in the high bits.
 ROWS_PER_TASK = 33
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -24,6 +25,13 @@ def whole_text(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Have Spark hand rows to Python in batches of 4 MB at most for the rest of the session, unless the session says
+    otherwise: the usual 10,000 rows know no bound when texts are long."""
+    if spark.conf.get(BATCH_BYTES, None) in (None, str((1 << 31) - 1), str((1 << 63) - 1), "-1"):
+        spark.conf.set(BATCH_BYTES, str(4 << 20))
+
+
 def draw(*columns: Column | str) -> Column:
     """A number in [0, 1) from a hash of the columns."""
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) / float(1 << 30)

@@ -6,8 +6,8 @@
 3. N-grams have one order for all texts: by hash, the most frequent ones last. Two linked texts share an n-gram of their
    first ones (their prefixes), so texts that meet at no such n-gram are not linked. An n-gram that a third of all texts
    share is late in the order and thus in next to no prefix. The order decides what is compared, never what is linked.
-4. Of the texts that meet at an n-gram neighbours in size are compared first. That links groups of near copies, with pairs in
-   proportion to the texts. Then every text is compared with those that it meets and is not yet connected to, leaving
+4. Of the texts that meet at an n-gram, each is first compared with the one that has most in common with the others, then
+   with its neighbour in size. That links groups of near copies, with pairs in proportion to the texts. Then every text is compared with those that it meets and is not yet connected to, leaving
    out, for each n-gram, the pairs within the largest connected part: whatever their number, no link between parts is missed.
 5. Comparing: the sets that one set is compared with are stored in a prefix tree in hash order. A walk shares the overlap of
    what they have in common, and leaves a subtree when the lengths that remain cannot bring the overlap needed.
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, first_row_number, whole_text
+from tidemark.llm.common import bounded_batches, components, first_row_number, whole_text
 from tidemark.llm.shingles import set_signature, shingle_set
 from tidemark.session import materialise
 
@@ -32,7 +32,8 @@ SAMPLED = 0.22  # part of all hashes in which n-grams of one class are counted;
 FREQUENT = 100_000  # n-grams that are put last; a bound on what is sent to the tasks, not on what is compared
 LEAST_FREQUENT = 8
 KEYS_SENT = 1_000_000  # up to so many keys (16 bytes each) are broadcast; more are joined by a shuffle
-PARTNERS = 2  # of the neighbours in size, those that share most n-grams
+LOT = 500  # texts of an n-gram among which neighbours in size are sought
+PARTNERS = 2  # of those compared first, the ones that share most n-grams
 
 
 def required(a: int, b: int, percent: int) -> int:
@@ -151,21 +152,23 @@ def _prefixes(frequent: np.ndarray, percent: int):
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            grams, nodes, sizes, places = [], [], [], []
+            grams, nodes, sizes, places, lates = [], [], [], [], []
             for node, n, data in zip(batch["node"], batch["n"], batch["grams"]):
                 own = np.frombuffer(data, np.int64)
+                late = np.zeros(len(own), np.int64)
                 if len(by_hash):
                     at = np.searchsorted(by_hash, own)
                     at[at == len(by_hash)] = 0
                     late = np.where(by_hash[at] == own, rank[at] + 1, 0)
-                    own = own[np.argsort(late, kind="stable")]
-                own = own[: may_differ(n, percent) + 1]
+                first = np.argsort(late, kind="stable")[: may_differ(n, percent) + 1]
+                own = own[first]
                 grams.append(own)
+                lates.append(late[first] > 0)
                 nodes.append(np.full(len(own), node))
                 sizes.append(np.full(len(own), n))
                 places.append(np.arange(len(own)))
             if grams:
-                yield pd.DataFrame({"gram": np.concatenate(grams), "node": np.concatenate(nodes), "n": np.concatenate(sizes), "place": np.concatenate(places)})
+                yield pd.DataFrame({"gram": np.concatenate(grams), "node": np.concatenate(nodes), "n": np.concatenate(sizes), "place": np.concatenate(places), "late": np.concatenate(lates)})
 
     return made
 
@@ -187,11 +190,15 @@ def _compared(percent: int):
 
 
 def _possible(percent: int, left: str, right: str) -> Column:
-    """Can the sets of these rows, which share an n-gram at their places, be linked? By their sizes and what is before and after."""
-    n1, n2, p1, p2 = (F.col(f"{s}.{c}") for c in ("n", "place") for s in (left, right))
+    """Can the sets of these rows, which share an n-gram at their places, be linked? By their sizes, by what is before and
+    after, and by the n-grams of one's prefix that are in no other (``own``): they come before the other's last one if
+    that is a frequent one (``to_late``), and so would be in its prefix if it had them. Of the n-grams that linked sets share
+    one is so early in both that the overlap they need could follow from it on: pairs are taken there only."""
+    n1, n2, p1, p2, e1, e2, l1, l2 = (F.col(f"{s}.{c}") for c in ("n", "place", "own", "to_late") for s in (left, right))
     most = F.least(p1, p2) + 1 + F.least(n1 - p1 - 1, n2 - p2 - 1)
-    sizes = (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2))
-    return sizes & ((100 + percent) * most >= percent * (n1 + n2))
+    most = F.least(most, n1 - F.when(l2, e1).otherwise(0), n2 - F.when(l1, e2).otherwise(0))
+    most = F.least(most, n1 - p1, n2 - p2)
+    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & ((100 + percent) * most >= percent * (n1 + n2))
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int, label: str) -> DataFrame:
@@ -208,6 +215,17 @@ def _with_part(rows: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(parts.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
 
 
+def _centre(rows: DataFrame) -> DataFrame:
+    """With each row (gram, x) the text y that has most in common with the others of the n-gram."""
+    return rows.join(rows.groupBy("gram").agg(F.max("x").alias("y")), "gram")
+
+
+def _neighbour(rows: DataFrame) -> DataFrame:
+    """With each row (gram, lot, x) the next smaller text y of the lot."""
+    by_size = Window.partitionBy("gram", "lot").orderBy("x.n", "x.node")
+    return rows.withColumn("y", F.lag("x").over(by_size)).where("y is not null")
+
+
 def linked_classes(sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between the sets (node, n, grams; a table) that connect what is linked: a link that is left out joins two
     sets which the others already connect."""
@@ -215,19 +233,26 @@ def linked_classes(sets: DataFrame, percent: int) -> DataFrame:
     counts = sets.mapInPandas(_repeated, "gram long, times long").groupBy("gram").agg(F.sum("times").alias("times"))
     top = counts.where(F.col("times") >= LEAST_FREQUENT).orderBy(F.desc("times"), "gram").limit(FREQUENT).collect()
     frequent = np.array([r["gram"] for r in reversed(top)], np.int64)
-    prefixes = sets.mapInPandas(_prefixes(frequent, percent), "gram long, node long, n long, place long")
+    prefixes = sets.mapInPandas(_prefixes(frequent, percent), "gram long, node long, n long, place long, late boolean")
     prefixes = materialise(prefixes, "prefixes")
-    shared = prefixes.groupBy("gram").count().where("count > 1").select("gram")
+    shared = prefixes.groupBy("gram").count().where("count > 1")
     meets = materialise(prefixes.join(shared, "gram"), "meets")
+    # a text whose first n-grams are in many others differs little from what they have in common
+    early = F.sum(F.when(F.col("late"), 0).otherwise(1))
+    met = meets.groupBy("node").agg(F.sum("count").alias("common"), early.alias("met"))
+    ends = prefixes.groupBy("node").agg(early.alias("early"), F.max("late").alias("to_late"))
+    facts = materialise(met.join(ends, "node").select("node", "common", (F.col("early") - F.col("met")).alias("own"), "to_late"), "facts")
+    lots = F.ceil(F.col("count") / LOT)  # a frequent n-gram's rows are dealt out to look for neighbours
+    meets = meets.withColumn("lot", F.pmod(F.xxhash64("node"), lots)).drop("count", "late")
+    meets = materialise(meets.join(facts, "node"), "meets")
+    row = F.struct("common", "node", "n", "place", "own", "to_late", "part")
 
     links = spark.createDataFrame([], "a long, b long")
-    for order in ([F.col("n"), F.col("node")], [F.xxhash64("node"), F.col("node")]):
-        rows = _with_part(meets, links)
-        before = Window.partitionBy("gram").orderBy(*order)
-        near = rows.select("gram", F.struct("node", "n", "place", "part").alias("x"), F.lag(F.struct("node", "n", "place", "part")).over(before.orderBy(*order)).alias("y"))
+    for partner in (_centre, _neighbour):
+        near = partner(_with_part(meets, links).select("gram", "lot", row.alias("x")))
         near = near.where((F.col("x.part") != F.col("y.part")) & _possible(percent, "x", "y"))
-        pairs = near.groupBy(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).count()
-        best = Window.partitionBy("a").orderBy(F.desc("count"), "b")
+        pairs = near.groupBy(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).agg(F.count("*").alias("met"), F.max("x.node").alias("x"))
+        best = Window.partitionBy("x").orderBy(F.desc("met"), "a", "b")
         pairs = pairs.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= PARTNERS).select("a", "b")
         links = materialise(links.union(_links(pairs, sets, percent, "near")), "links")
 
@@ -235,8 +260,8 @@ def linked_classes(sets: DataFrame, percent: int) -> DataFrame:
     parts = rows.groupBy("gram", "part").agg(F.count("*").alias("rows"))
     mixed = parts.groupBy("gram").agg(F.max(F.struct("rows", "part"))["part"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
     open_rows = rows.join(mixed.select("gram", "main"), "gram")
-    every = open_rows.select("gram", "main", F.struct("node", "n", "place", "part").alias("y"))
-    others = open_rows.where("part <> main").select("gram", F.struct("node", "n", "place", "part").alias("x"))
+    every = open_rows.select("gram", "main", row.alias("y"))
+    others = open_rows.where("part <> main").select("gram", row.alias("x"))
     met = others.join(every, "gram").where((F.col("x.part") != F.col("y.part")) & _possible(percent, "x", "y"))
     met = met.where((F.col("y.part") == F.col("main")) | (F.col("x.node") > F.col("y.node")))
     pairs = met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
@@ -253,6 +278,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     share it the first one. ``docs`` must read the same rows again (a table). Other columns may have any name; an empty table
     gives no row.
     """
+    bounded_batches(docs.sparkSession)
     h = F.xxhash64(whole_text(F.col(text)))
     read = docs.select(F.col(key).cast("long").alias("_id"), h.alias("_h"), whole_text(F.col(text)).alias("_text"))
     signed = read.mapInPandas(_signed(words), "row long, doc_id long, h long, n long, s1 long, s2 long, sample array<long>")
