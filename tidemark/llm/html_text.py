@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import whole_text
+from tidemark.llm.common import bounded_batches, whole_text
 from tidemark.session import materialise
 
 #: A subtree is template if so many pages of a host, and this share of them, have it.
@@ -230,6 +230,7 @@ def extract_text(pages: DataFrame, url: str = "url", html: str = "html", name: s
     Null html counts as empty: an empty text. Pages without an address share the host ''. Repeated rows are pages of their own
     in the counts. A page of any length is parsed whole; the parser's state is the page's elements.
     """
+    bounded_batches(pages.sparkSession)
     address = F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^(?i)[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
     host = F.lower(address)
     read = pages.select(host.alias("_host"), whole_text(F.col(html)).alias("_html"))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tidemark.llm.common import draw, whole_text
+from tidemark.llm.common import bounded_batches, draw, whole_text
 from tidemark.session import materialise
 
 #: Bound on the labelled rows of each language that the classifiers are fitted on, the first by a hash of the id.
@@ -36,6 +36,12 @@ _LETTER = re.compile(r"[^\W\d_]")
 _MULTIPLIERS = np.array([2654435761, 2246822519, 3266489917], np.uint32)  # odd numbers that spread the bytes
 
 
+def has_letter(text: str) -> bool:
+    """Is there a letter? The pattern also finds numerals of other kinds than digits, which are then told apart."""
+    found = _LETTER.search(text)
+    return found is not None and (found[0].isalpha() or any(map(str.isalpha, text)))
+
+
 def codewords(classes: int, seed: int = 7) -> np.ndarray:
     """A row of +1 and -1 for each class: all ways to part up to five classes in two; beyond that, random rows far apart."""
     if classes < 2:
@@ -103,7 +109,7 @@ class LanguageModel:
     def predict(self, texts: Sequence[str]) -> list[tuple[str, float, bool]]:
         if not len(texts):
             return []
-        lettered = [bool(_LETTER.search(t)) for t in texts]
+        lettered = [has_letter(t) for t in texts]
         if not self.languages:
             return [(UNDETERMINED, 0.0, True)] * len(texts)
         out: list[tuple[str, float, bool]] = []
@@ -121,6 +127,7 @@ def labelled_sample(docs: DataFrame, label: str = "lang", rows: int = SAMPLE_ROW
 
     Only the most frequent ``MAX_CODES`` labels, so at most their product is sorted, and sent to the tasks as (id, label).
     """
+    bounded_batches(docs.sparkSession)
     base = docs.select(F.col(key).alias("_id"), F.col(label).cast("string").alias("lang"), F.col(text).alias("text"))
     base = base.where("lang is not null and text is not null and _id is not null")
     frequent = base.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_CODES).collect()
@@ -204,4 +211,5 @@ def identify_language(docs: DataFrame, model: LanguageModel, text: str = "text",
     Null counts as the empty text: ``und``, score 0, ambiguous. Whole texts are read. Rows stay where they are and keep all
     their columns, so nulls, ties and repeated rows elsewhere do not matter.
     """
+    bounded_batches(docs.sparkSession)
     return docs.withColumn(name, predictor(model)(whole_text(F.col(text))))

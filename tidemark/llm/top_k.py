@@ -72,8 +72,8 @@ def _blocks(rows_per_block: int):
 def _scores(row, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of a tile of the block's queries, of its candidates, and their scores; the query's own rows score least."""
     queries, candidates = np.frombuffer(row.q_ids, "<i8")[at : at + TILE], np.frombuffer(row.ids, "<i8")
-    q = np.frombuffer(row.q_data, "<f8").reshape(-1, row.dim)[at : at + TILE]
-    c = np.frombuffer(row.data, "<f8").reshape(-1, row.dim)
+    q = np.frombuffer(row.q_data, "<f8").reshape(row.q_n, row.dim)[at : at + TILE]
+    c = np.frombuffer(row.data, "<f8").reshape(row.n, row.dim)
     if row.norm * row.q_norm < EXACT / 4:
         scores = (q @ c.T).astype(np.int64)
     else:  # numbers too large for doubles; what does not fit into 64 bits is cut to their range
