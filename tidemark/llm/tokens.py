@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
-from tidemark.llm.common import whole_text
+from tidemark.llm.common import bounded_batches, whole_text
 
 SPACE = "▁"  # fixed value: how the model writes a space
-CACHED_WORDS = 700_000  # words a worker remembers; it starts anew beyond that
+CACHED_WORDS = 1_000_000  # words a worker remembers; it starts anew beyond that
 CACHED_PAIRS = 500_000
 CACHED_LENGTH = 64  # longer words are counted each time they occur
 STRUCT = "n_bytes long, n_tokens long, deltas binary"
@@ -107,40 +107,33 @@ class PrefixCounter:
             else:
                 raise ValueError(f"no last token at {end} of {word!r}")
 
-    def words(self, words: list[str]) -> None:
-        """Learn words not seen yet. Sorted, each continues the prefix it shares with the one before."""
-        if len(self._known) > CACHED_WORDS:
-            self._known.clear()
+    def _learn(self, words: set[str]) -> None:
+        """Count words not seen yet. Sorted, each continues the prefix it shares with the one before."""
         before, counts, last = "", [0], [""]
-        for word in sorted({w for w in words if w not in self._known}):
+        for word in sorted(words):
             kept = 0
             for a, b in zip(before, word):
                 if a != b:
                     break
                 kept += 1
             self._extend(word, kept, counts, last)
-            self._known[word] = self._deltas(counts)
+            self._known[word] = bytes([(b - a) & 255 for a, b in zip(counts, counts[1:])])
             before = word
 
-    @staticmethod
-    def _deltas(counts: list[int]) -> bytes:
-        return bytes([(b - a) & 255 for a, b in zip(counts, counts[1:])])
-
-    def _long(self, word: str) -> bytes:
-        counts, last = [0], [""]
-        self._extend(word, 0, counts, last)
-        return self._deltas(counts)
-
     def deltas(self, texts: list[str]) -> list[bytes]:
         """For each text, a delta for the leading space the model adds and one for each character."""
-        split = [self.model.words.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        for at in range(0, len(split), 512):
-            part = split[at : at + 512]
-            self.words([w for ws in part for w in ws if len(w) <= CACHED_LENGTH])
-            known = self._known
-            for i, ws in enumerate(part):
-                split[at + i] = b"".join([known[w] if len(w) <= CACHED_LENGTH else self._long(w) for w in ws])
-        return split
+        find, known, out = self.model.words.findall, self._known, []
+        for at in range(0, len(texts), 512):
+            split = [find(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts[at : at + 512]]
+            if len(known) > CACHED_WORDS:
+                known.clear()
+            new = set().union(*split).difference(known)
+            self._learn(new)
+            out += [b"".join(map(known.__getitem__, words)) for words in split]
+            for word in new:
+                if len(word) > CACHED_LENGTH:
+                    del known[word]
+        return out
 
 
 _counters: dict[int, PrefixCounter] = {}
@@ -181,6 +174,7 @@ def prefix_counts(docs: DataFrame, model_path: str, text: str = "text", name: st
     columns are kept as they are; rows are not moved, so repeated rows and ids of any kind do not matter. A text of any
     length takes time and memory in proportion to it.
     """
+    bounded_batches(docs.sparkSession)
     return docs.withColumn(name, prefix_counter(read_model(model_path))(whole_text(F.col(text))))
 
 
