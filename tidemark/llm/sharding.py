@@ -23,21 +23,27 @@ from tidemark.session import materialise
 SHARDS = 40
 ROUNDS = 6
 SLACK = 1.02  # a shard may be larger than the mean by this factor while documents move
+LARGE = 0.1  # a group with so much of a shard's rows is large
+FILLED = 0.95  # a shard with so much of a group is full of it
 ROW_BYTES = 16
 
 
 def propagate(votes: DataFrame, mean: float, rounds: int) -> DataFrame:
     """Rows (link, shard, n) after ``rounds`` rounds; a shard takes up to ``mean`` times the slack."""
     for step in range(rounds):
-        at_home = Window.partitionBy("link").orderBy(F.desc("n"), F.xxhash64("link", "shard"), "shard")
+        filled = F.col("n") >= FILLED * mean  # a group larger than a shard fills one after the other
+        at_home = Window.partitionBy("link").orderBy(filled, F.desc("n"), F.xxhash64("link", "shard"), "shard")
         wish = votes.withColumn("target", F.first("shard").over(at_home))  # at most one row per shard in a window
-        moving = F.col("target") != F.col("shard")
-        asked = wish.where(moving).groupBy(F.col("target").alias("shard")).agg(F.sum("n").alias("asked"))
-        staying = wish.where(~moving).groupBy("shard").agg(F.sum("n").alias("staying"))
-        quotas = asked.join(staying, "shard", "left")  # a row per shard
-        room = F.greatest(F.lit(0.0), mean * SLACK - F.coalesce("staying", F.lit(0)))
-        quotas = quotas.select(F.col("shard").alias("target"), F.least(F.lit(1.0), room / F.col("asked")).alias("quota"))
-        chosen = wish.join(F.broadcast(quotas), "target", "left")
+        moving = (F.col("target") != F.col("shard")) & ~filled
+        wish = wish.withColumn("large", F.sum("n").over(Window.partitionBy("link")) >= LARGE * mean)
+        asked = wish.where(moving).groupBy(F.col("target").alias("shard"), "large").agg(F.sum("n").alias("asked"))
+        staying = wish.where(~moving).groupBy("shard").agg(F.sum("n").alias("staying"), F.sum(F.when(F.col("large"), F.col("n")).otherwise(0)).alias("large_staying"))
+        quotas = asked.join(staying, "shard", "left")  # two rows per shard
+        # large groups go first: they ask for the room that small ones have, which then move or are cut off at the end
+        taken = F.coalesce(F.when(F.col("large"), F.col("large_staying")).otherwise(F.col("staying")), F.lit(0))
+        room = F.greatest(F.lit(0.0), mean * SLACK - taken)
+        quotas = quotas.select(F.col("shard").alias("target"), "large", F.least(F.lit(1.0), room / F.col("asked")).alias("quota"))
+        chosen = wish.join(F.broadcast(quotas), ["target", "large"], "left")
         share = F.col("n") * F.coalesce("quota", F.lit(0.0))  # whole members move; the fraction left decides by a hash
         movers = F.floor(share + draw("link", "shard", F.lit(step))).cast("long")
         movers = F.when(moving, F.least(F.col("n"), movers)).otherwise(F.lit(0))
