@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import first_row_number, whole_text
+from tidemark.llm.common import bounded_batches, first_row_number, whole_text
 from tidemark.session import size_of
 
 LOCAL_BYTES = 24 << 20  # texts that a task gathers before it sends what it has
@@ -219,6 +219,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     ``docs`` beside these two may have any name. An empty table gives no row.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("_id"), F.col(key).isNull().alias("_null"), whole_text(F.col(text)).alias("_text"))
     groups = rows.mapInPandas(_local_groups(True), "n_bytes long, sha string, text binary, top long, first long, n long")
     size = size_of(docs)
