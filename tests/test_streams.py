@@ -1,8 +1,11 @@
 import json
+import os
 
 from pyspark.sql import functions as F
 
 from tests.helpers import rows
+from tidemark import session
+from tidemark.operators import language
 from tidemark.sources import fastq
 from tidemark.streaming import arrivals, trends
 
@@ -70,3 +73,28 @@ def test_stream_gives_closed_windows_only_and_survives_a_restart(spark, tmp_path
     assert first == [(0, "#a", 1, 4, 2), (0, "#a", 2, 1, 2)]
     second = run("2.json", (9, 2, "late #a", 1), (5, 1, "#c", 10), (6, 1, "x", 20))
     assert second == [*first, (8, "#c", 4, 1, 2), (8, "#c", 5, 1, 2)]
+
+
+def test_batches_leave_nothing_behind(spark, tmp_path):
+    """Language model once, twenty batches: as many scratch folders after the last batch as after the first."""
+    known = spark.createDataFrame([("en", "the this that then there"), ("de", "der die das und oder")], "lang string, text string")
+    ready = language.prepare_profiles(language.lang_profiles(known, "text"))
+    scratch = session._run_folder(spark).removeprefix("file:")
+    inbox, out, state = (tmp_path / n for n in ("in", "out", "state"))
+    inbox.mkdir()
+    for i in range(20):
+        posts = [{"id": k, "user": "u", "rt": i, "text": f"this and that #t{i}", "ts": f"2024-01-01T00:{i:02}:00Z"} for k in (i, i + 100)]
+        (inbox / f"{i:02}.json").write_text("\n".join(map(json.dumps, posts)))
+    seen = []
+
+    def report(tagged):
+        seen.append(len(os.listdir(scratch)))
+        return trends.trend_of_tags(language.posts_in(tagged, "text", ready).select(*tagged.columns))
+
+    posts = trends.read_posts_stream(spark, str(inbox), "id long, user string, rt long, text string, ts timestamp", maxFilesPerTrigger="1")
+    growth = trends.retweet_growth_stream(posts, 120, 60, 10)
+    plan = growth._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Aggregate [") == 2
+    trends.write_trends_stream(growth, str(out), str(state), report, availableNow=True).awaitTermination()
+    assert len(seen) >= 20 and len(set(seen)) == 1
+    assert spark.read.parquet(str(out)).count() > 0
