@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import first_row_number, whole_text
+from tidemark.llm.common import bounded_batches, first_row_number, whole_text
 
 WINDOW = 4096
 END_ID = 2
@@ -36,13 +36,13 @@ PIECE = "position long, start long, length long, ids_crc32 long, doc_tokens long
 
 
 #: The tokenizer's own pattern for what it encodes separately, for the letters of ``_OTHER``'s complement.
-_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+_WORDS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\sa-z0-9ß-öø-ÿ]+")
 _OTHER = re.compile(r"[^\x00-\x7fÀ-ÖØ-öø-ÿ]")
-_SEPARATOR = re.compile(r"[\x1c-\x1f]")  # white space to one library and not to the other
+_SEPARATORS = "\x1c\x1d\x1e\x1f"  # white space to one library and not to the other
 
 
 def _plain(text: str) -> bool:
-    return (text.isascii() or not _OTHER.search(text)) and "<|" not in text and not _SEPARATOR.search(text)
+    return (text.isascii() or not _OTHER.search(text)) and "<|" not in text and not any(c in text for c in _SEPARATORS)
 
 
 class Encoder:
@@ -86,45 +86,54 @@ class Encoder:
             known.clear()
         split = [_WORDS.findall(t.lower()) if _plain(t) else None for t in texts]
         new = list(set().union(*[w for w in split if w]).difference(known))
-        long = {w for w in new if len(w) > CACHED_LENGTH}
+        long = [w for w in new if len(w) > CACHED_LENGTH]
         known.update(zip(new, self._encode_words(new)))
-        out = [b"".join([*map(known.__getitem__, words), self._end]) if words is not None else b"" for words in split]
+        out = [b"".join(map(known.__getitem__, words)) + self._end if words is not None else b"" for words in split]
+        for w in long:
+            del known[w]
         whole = [i for i, words in enumerate(split) if words is None]
         for i, ids in zip(whole, self._encode_whole([texts[i] for i in whole])):
             out[i] = ids + self._end
-        for w in long:
-            del known[w]
         return out
 
 
 class Index:
-    """Inverted index of a shard: for each term the documents that have it and their BM25 weights."""
+    """Inverted index of a shard: for each term the documents that have it and how often. BM25 weights are worked out for the
+    terms that are looked up; a term that half of the documents have weighs nothing."""
 
     def __init__(self, docs: list[np.ndarray]):
-        self.n = len(docs)
-        lengths = np.array([len(d) for d in docs], float)
-        terms, tf = zip(*[np.unique(d, return_counts=True) for d in docs]) if docs else ((), ())
-        self.own = terms
-        owner = np.repeat(np.arange(self.n), [len(t) for t in terms])
-        term, tf = np.concatenate(terms), np.concatenate(tf).astype(float)
-        order = np.argsort(term, kind="stable")
-        self.docs, tf = owner[order], tf[order]
-        self.terms, self.first, df = np.unique(term[order], return_index=True, return_counts=True)
-        self.last = self.first + df
-        self.idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * lengths / max(lengths.mean(), 1.0))
-        self.weights = np.repeat(self.idf, df) * tf * (K1 + 1) / (tf + norm[self.docs])
+        self.n, self.ids = len(docs), docs
+        lengths = np.array([len(d) for d in docs])
+        tokens = np.concatenate(docs)
+        owner = np.repeat(np.arange(self.n, dtype=np.int32), lengths)
+        order = np.argsort(tokens.astype(np.uint16) if tokens.max() < 1 << 16 else tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        begins = np.ones(len(tokens), bool)  # of each (term, document)
+        np.not_equal(tokens[1:], tokens[:-1], out=begins[1:])
+        ends_term = np.flatnonzero(begins)
+        begins[1:] |= owner[1:] != owner[:-1]
+        postings = np.flatnonzero(begins)
+        self.times = np.diff(np.append(postings, len(tokens)))
+        self.docs, self.terms = owner[postings], tokens[ends_term]
+        self.first = np.searchsorted(postings, ends_term)
+        self.last = np.append(self.first[1:], len(postings))
+        df = self.last - self.first
+        self.idf = np.log((self.n - df + 0.5) / (df + 0.5))
+        self.idf[df < 2] = 0  # no neighbour has it
+        self.norm = K1 * (1 - B + B * lengths / max(lengths.mean(), 1.0))
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
         """Unused documents that share a strong term with the seed, best first, ties to the earlier document."""
-        at = np.searchsorted(self.terms, self.own[seed])
-        shared = at[self.last[at] - self.first[at] > 1]
+        at = np.searchsorted(self.terms, np.unique(self.ids[seed]))
+        shared = at[self.idf[at] > 0]
         if len(shared) > QUERY_TERMS:
             shared = shared[np.argsort(-self.idf[shared], kind="stable")[:QUERY_TERMS]]
         if not len(shared):
             return shared
         spans = np.concatenate([np.arange(self.first[t], self.last[t]) for t in shared])
-        scores = np.bincount(self.docs[spans], self.weights[spans], self.n)
+        times, docs = self.times[spans], self.docs[spans]
+        weights = np.repeat(self.idf[shared], self.last[shared] - self.first[shared]) * times * (K1 + 1) / (times + self.norm[docs])
+        scores = np.bincount(docs, weights, self.n)
         scores[used] = 0
         found = np.flatnonzero(scores)
         return found[np.argsort(-scores[found], kind="stable")]
@@ -159,16 +168,20 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[
         sequence = [(seed, int(left[seed]), int(size[seed] - left[seed]))]
         room = window - sequence[0][2]
         near = index.neighbours(seed, used)
-        for d in near:
-            if not room:
+        rests, at = size[near] - left[near], 0
+        while room:  # what has not fitted does not fit later, as the room only shrinks
+            fits = np.flatnonzero(rests[at:] <= room)
+            if not len(fits):
                 break
-            rest = int(size[d] - left[d])
-            if rest <= room:
-                sequence.append((int(d), int(left[d]), rest))
-                used[d] = True
-                room -= rest
+            at += int(fits[0])
+            d, rest = int(near[at]), int(rests[at])
+            sequence.append((d, int(left[d]), rest))
+            used[d] = True
+            room -= rest
+            at += 1
         if room:  # no neighbour fits: cut the best one that is left, or the next document
-            d = next((int(d) for d in near if not used[d]), -1)
+            near = near[~used[near]]
+            d = int(near[0]) if len(near) else -1
             at = pending
             while d < 0 and room and at < n:
                 c = int(order[at])
@@ -217,6 +230,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, text: str =
     end id alone. Rows are packed as they come: repeated rows, null keys and ties give a document each. A text that is
     longer than a shard is a shard of its own.
     """
+    bounded_batches(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as file:
         tokenizer = file.read()  # two megabytes, sent with the task
     broadcast = docs.sparkSession.sparkContext.broadcast(tokenizer)
