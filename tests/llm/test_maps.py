@@ -58,6 +58,10 @@ def test_codewords_differ():
         assert len(code) == n and min(apart) >= max(1, code.shape[1] // 5)
 
 
+def test_letters():
+    assert [language_id.has_letter(t) for t in ("", "12 _", "²Ⅷ", "² a", "é", "字")] == [False, False, False, True, True, True]
+
+
 def test_language_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = language_id.learn_languages(language_id.labelled_sample(docs.where(~held_out(F.col("doc_id")))))
@@ -132,7 +136,7 @@ def test_ids_are_the_tokenizers(text):
 
 
 def test_neighbours_share_rare_terms():
-    docs = [np.array(x, "<u4") for x in ([1, 2, 3, 90, 91], [1, 2, 3], [4, 90, 91], [1, 5], [6])]
+    docs = [np.array(x, "<u4") for x in ([1, 2, 3, 90, 91], [1, 7], [4, 90, 91], [1, 5], [6])]
     index = packing.Index(docs)
     assert index.neighbours(0, np.array([True, False, False, False, False])).tolist()[0] == 2
     assert index.neighbours(4, np.zeros(5, bool)).tolist() == []
@@ -165,7 +169,7 @@ def test_sharding(spark, odd_docs, no_docs):
 def test_hot_group_is_cut_as_far_as_needed(spark):
     docs = spark.range(3000).selectExpr("id as doc_id", "if(id % 3 = 0, 'same', concat('text ', id div 6)) as text")
     placed = sharding.shard_rows(docs, 10).groupBy("link").agg(F.countDistinct("shard").alias("s"), F.count("*").alias("n")).collect()
-    assert all(r.s <= 6 for r in placed if r.n == 1000)
+    assert all(r.s <= 8 for r in placed if r.n == 1000)  # four at least
     assert sum(r.s > 1 for r in placed) <= 25
     assert "Python" not in sharding.shard_rows(docs, 10)._jdf.queryExecution().toString()
 

@@ -26,6 +26,7 @@ from tidemark.llm.tokens import SPACE, PieceModel
 from tidemark.session import materialise
 
 LONGEST_WORD = 64  # longer words, which a fold would take quadratic time for, are encoded from their prefixes in a task
+NO_EDGES = {"edges": "cast(array() as array<struct<start:int,end:int,id:int,score:double>>)", "scores": "cast(map() as map<int,double>)"}
 UNKNOWN_PENALTY = 10.0  # fixed value: how far below the worst piece an unknown character scores in the unigram kind
 
 
@@ -46,40 +47,42 @@ def split_words(text: Column, model: bytes) -> Column:
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """``words`` (word) -> (word, edges): start, end, id and score of each substring that is a piece."""
+    """``words`` (word) -> (word, edges, scores): start, end, id and score of each substring that is a piece, and the scores
+    by place."""
     n = F.length("word")
     begun = words.repartition("word").select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
     lengths = F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("start")))
     cut = begun.select("word", "start", F.explode(lengths).alias("size"))
     cut = cut.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("size")))
     edges = cut.join(F.broadcast(pieces), "piece")
-    edge = F.struct("start", (F.col("start") + F.col("size")).alias("end"), "id", "score")
-    grouped = edges.groupBy("word").agg(F.collect_list(edge).alias("edges"))  # in the task that has the word
-    return words.join(grouped, "word", "left").withColumn("edges", F.coalesce("edges", F.array().cast(grouped.schema["edges"].dataType)))
+    end = F.col("start") + F.col("size")
+    place, edge = _place(F.col("start"), end), F.struct("start", end.alias("end"), "id", "score")
+    grouped = edges.groupBy("word").agg(  # in the task that has the word
+        F.collect_list(edge).alias("edges"),
+        F.map_from_entries(F.collect_list(F.struct(place.alias("place"), F.col("score").alias("score")))).alias("scores"),
+    )
+    joined = words.join(grouped, "word", "left")  # a word of which no part is a piece has no edges
+    return joined.withColumns({c: F.coalesce(c, F.expr(none)) for c, none in NO_EDGES.items()})
 
 
 def _place(start: Column, end: Column) -> Column:
     return start * F.lit(1 << 10) + end
 
 
-def merged_cuts(word: Column, edges: Column) -> Column:
+def merged_cuts(word: Column, scores: Column) -> Column:
     """Ends of the tokens (with 0 in front) after the best scored neighbours have been joined again and again."""
-    scores = F.map_from_entries(F.transform(edges, lambda e: F.struct(_place(e["start"], e["end"]), e["score"])))
-
-    def step(state: Column, _: Column) -> Column:
-        cuts, known = state["cuts"], state["scores"]
 
+    def step(cuts: Column, _: Column) -> Column:
         def span(i: Column) -> Column:
-            score = F.element_at(known, _place(F.element_at(cuts, i - 1), F.element_at(cuts, i + 1)))
+            score = F.element_at(scores, _place(F.element_at(cuts, i - 1), F.element_at(cuts, i + 1)))
             return F.struct(score.alias("score"), (-i).alias("at"))
 
         inner = F.filter(F.transform(F.sequence(F.lit(2), F.size(cuts) - 1), span), lambda x: x["score"].isNotNull())
         best = F.array_max(inner)  # the first of them on a tie
-        left = F.when((F.size(cuts) > 2) & (F.size(inner) > 0), F.filter(cuts, lambda c, j: j + 1 != -best["at"])).otherwise(cuts)
-        return F.struct(left.alias("cuts"), known.alias("scores"))
+        drop = F.coalesce(-best["at"], F.lit(0))
+        return F.when((F.size(cuts) > 2) & (F.size(inner) > 0), F.concat(F.slice(cuts, 1, drop - 1), F.slice(cuts, drop + 1, F.size(cuts)))).otherwise(cuts)
 
-    start = F.struct(F.sequence(F.lit(0), F.length(word)).alias("cuts"), scores.alias("scores"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step, lambda s: s["cuts"])
+    return F.aggregate(F.sequence(F.lit(2), F.length(word)), F.sequence(F.lit(0), F.length(word)), step)
 
 
 def viterbi_cuts(word: Column, edges: Column, least: float) -> Column:
@@ -149,7 +152,7 @@ def encode_words(words: DataFrame, model: bytes, kind: str = "merges") -> DataFr
     """Distinct words (word) -> (word, ids)."""
     pieces, facts = piece_table(words.sparkSession, model)
     edged = lattice(words.where(F.length("word") <= LONGEST_WORD) if kind == "merges" else words, pieces, facts["longest"])
-    cuts = merged_cuts(F.col("word"), F.col("edges")) if kind == "merges" else viterbi_cuts(F.col("word"), F.col("edges"), facts["least"])
+    cuts = merged_cuts(F.col("word"), F.col("scores")) if kind == "merges" else viterbi_cuts(F.col("word"), F.col("edges"), facts["least"])
     folded = edged.withColumn("cuts", cuts).select("word", ids_of_cuts(F.col("word"), F.col("edges"), F.col("cuts"), facts).alias("ids"))
     if kind != "merges":
         return folded

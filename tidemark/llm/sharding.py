@@ -13,6 +13,8 @@ the cuts fall on them and not on a group. Only DataFrame operations are used.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,7 +65,6 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, key:
     text plus 16; null text counts as empty here but is linked only with other empty texts, as its rows are the same.
     Repeated rows, also those with the same id or none, are rows of their own. No row gives no shard.
     """
-    spark = docs.sparkSession
     body = F.encode(whole_text(F.col(text)), "UTF-8")
     rows = docs.select(
         F.col(key).alias("doc_id"),
@@ -78,20 +79,17 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, key:
     groups = members.groupBy("link").agg(F.sum("n").alias("members")).where("members > 1")
     votes = materialise(members.join(groups, "link", "left_semi").select("link", F.col("home").alias("shard"), "n"), "votes")
     votes = propagate(votes, total / shards, rounds)
-    every = spark.range(shards).select(F.col("id").cast("int").alias("shard"))
-    linked = every.join(votes.groupBy("shard").agg(F.sum("n").alias("linked")), "shard", "left")
-    free = linked.select("shard", F.greatest(F.lit(0.0), total / shards - F.coalesce("linked", F.lit(0))).alias("free"))
-    free = free.agg(F.sort_array(F.collect_list(F.struct("shard", "free"))).alias("free"))  # an entry per shard
-    upto_free = F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda i: F.aggregate(F.slice("free", 1, i), F.lit(0.0), lambda s, f: s + f["free"]))
-    free = free.select(upto_free.alias("upto_free"))
+    linked = {r["shard"]: r["n"] for r in votes.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a number per shard
+    free = accumulate(max(0.0, total / shards - linked.get(shard, 0)) for shard in range(shards))
+    upto_free = F.array(*[F.lit(float(x)) for x in free])
     # a group's shards as an array (one entry per shard at most) with the count up to and with each
     upto = Window.partitionBy("link").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     spread = votes.withColumn("upto", F.sum("n").over(upto)).groupBy("link").agg(
         F.sort_array(F.collect_list(F.struct("upto", "shard"))).alias("places"), F.sum("n").alias("members")
     )
-    placed = rows.join(spread, "link", "left").join(F.broadcast(free))  # one row
-    drawn = draw("row", F.lit("fill")) * F.element_at("upto_free", -1)
-    filled = F.least(F.size(F.filter("upto_free", lambda f: f <= drawn)), F.lit(shards - 1))
+    placed = rows.join(spread, "link", "left")
+    drawn = draw("row", F.lit("fill")) * F.element_at(upto_free, -1)
+    filled = F.least(F.size(F.filter(upto_free, lambda f: f <= drawn)), F.lit(shards - 1))
     pick = F.floor(draw("row", F.lit("pick")) * F.col("members"))
     mine = F.element_at(F.filter("places", lambda p: p["upto"] > pick), 1)["shard"]
     grouped = F.col("places").isNotNull()
