@@ -28,7 +28,7 @@ from tidemark.session import materialise
 
 WORDS = 5
 PERCENT = 80  # least similarity of a link, in whole per cent
-SAMPLED = 0.22  # part of all hashes in which n-grams of one class are counted; above the part that may differ
+SAMPLED = 1.5  # n-grams of one class are counted in a part of all hashes so many times the part of a set that may differ
 FREQUENT = 100_000  # n-grams that are put last; a bound on what is sent to the tasks, not on what is compared
 LEAST_FREQUENT = 8
 KEYS_SENT = 1_000_000  # up to so many keys (16 bytes each) are broadcast; more are joined by a shuffle
@@ -95,10 +95,10 @@ class PrefixTree:
             stack.extend((c, depth, overlap) for c in node.children.values())
 
 
-def _signed(words: int):
+def _signed(words: int, percent: int):
     """(id, h, text) -> (row, doc_id, h, n, s1, s2, sample)."""
     least = -(1 << 63)
-    below = least + int(SAMPLED * (1 << 64))
+    below = least + int(min(1.0, SAMPLED * (100 - percent) / 100) * ((1 << 64) - 1))
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         row = first_row_number()
@@ -281,7 +281,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     bounded_batches(docs.sparkSession)
     h = F.xxhash64(whole_text(F.col(text)))
     read = docs.select(F.col(key).cast("long").alias("_id"), h.alias("_h"), whole_text(F.col(text)).alias("_text"))
-    signed = read.mapInPandas(_signed(words), "row long, doc_id long, h long, n long, s1 long, s2 long, sample array<long>")
+    signed = read.mapInPandas(_signed(words, percent), "row long, doc_id long, h long, n long, s1 long, s2 long, sample array<long>")
     signed = materialise(signed, "signed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("first")
     classes = signed.where("n > 0").groupBy("s1", "s2").agg(F.min("row").alias("node"), first, F.max("n").alias("n"))
