@@ -13,14 +13,19 @@ from tidemark.operators.skew import SMALL_BYTES, lookup_join
 from tidemark.session import materialise, size_of
 
 
-def _trigrams(text: str | Column) -> Column:
-    """The trigrams of a text, one per letter: itself with its neighbours, ``_`` standing for the edge of a word."""
+def _trigrams(df: DataFrame, text: str | Column, *keep: str | Column) -> DataFrame:
+    """One row per letter: itself with its neighbours as ``trigram``, ``_`` standing for the edge of a word.
+
+    Texts without letters keep a row with a NULL trigram.
+    """
     text = F.col(text) if isinstance(text, str) else text
     marked = F.concat(F.lit("_"), F.regexp_replace(F.lower(text), r"[^\p{L}]+", "_"), F.lit("_"))
-    chars = F.split(marked, "")
-    n = F.greatest(F.size(chars) - 2, F.lit(0))
-    each = F.arrays_zip(F.slice(chars, 1, n).alias("a"), F.slice(chars, 2, n).alias("b"), F.slice(chars, 3, n).alias("d"))
-    return F.transform(F.filter(each, lambda t: t["b"] != "_"), lambda t: F.concat(t["a"], t["b"], t["d"]))
+    chars = df.select(*keep, F.split(marked, "").alias("c"))
+    names = chars.columns[:-1]
+    n = F.greatest(F.size("c") - 2, F.lit(0))
+    triples = F.arrays_zip(F.slice("c", 1, n).alias("a"), F.slice("c", 2, n).alias("b"), F.slice("c", 3, n).alias("d"))
+    spread = chars.select(*names, F.inline_outer(triples).alias("a", "b", "d"))
+    return spread.select(*names, F.when(F.col("b") != "_", F.concat("a", "b", "d")).alias("trigram"))
 
 
 def lang_profiles(df: DataFrame, text: str, lang: str = "lang", top: int | None = None) -> DataFrame:
@@ -28,7 +33,7 @@ def lang_profiles(df: DataFrame, text: str, lang: str = "lang", top: int | None
 
     There are as many trigrams as the alphabets allow, whatever the size of the texts.
     """
-    each = df.select(F.col(lang).alias("lang"), F.explode(_trigrams(text)).alias("trigram"))
+    each = _trigrams(df, text, F.col(lang).alias("lang")).filter(F.col("trigram").isNotNull())
     counts = each.groupBy("lang", "trigram").agg(F.count("*").alias("n"))
     if top is None:
         return counts
@@ -67,9 +72,8 @@ def detect_lang(df: DataFrame, key: str, text: str | Column, profiles: DataFrame
     key count as one. NULL where the text has no letters.
     """
     ready = profiles if isinstance(profiles, Profiles) else prepare_profiles(profiles)
-    grams = df.select(key, _trigrams(text).alias("grams")).select(key, F.coalesce("grams", F.array().cast("array<string>")).alias("grams"))
-    texts = grams.groupBy(key).agg(F.sum(F.size("grams")).alias("letters"))
-    seen = grams.select(key, F.explode("grams").alias("trigram")).groupBy(key, "trigram").agg(F.count("*").alias("times"))
+    seen = _trigrams(df, text, key).groupBy(key, "trigram").agg(F.count("trigram").alias("times"))
+    texts = seen.groupBy(key).agg(F.sum("times").alias("letters"))
     met = _joined(seen, ready.by_trigram, ["trigram"]).select(key, "times", F.inline("langs").alias("lang", "n"))
     dots = met.groupBy(key, "lang").agg(F.sum(F.col("times") * F.col("n")).alias("dot"))
     square = F.col("squares") / (F.col("total").cast("double") * F.col("total").cast("double"))
