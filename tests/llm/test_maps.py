@@ -213,6 +213,27 @@ def test_templates_are_removed_where_they_recur(spark):
     assert html_text.extract_text(pages.where("page_id < 0")).count() == 0
 
 
+def test_templates_inside_an_article_are_removed(spark):
+    """On every page of a host, without a telling class: in an article, in a main around the page; prose that recurs stays."""
+    box, links = "<div><p>Get our letter every week</p></div>", "<ul><li>Home</li><li>Sport</li></ul>"
+
+    def page(i, host):
+        story = f"<h1>News</h1><p>Story {i}.</p><p>A sentence that all share.</p>"
+        inner = f"<section>{box}{story}</section>" if host == "a.example" else f"{links}<div>{story}{box}</div>"
+        tag = "article" if host == "a.example" else "main"
+        return (i, f"https://{host}/{i}", f"<body><{tag}>{inner}</{tag}></body>")
+
+    rows = [page(i, "a.example") for i in range(20)] + [page(i, "b.example") for i in range(20, 40)]
+    copy = "<article><div><p>One text on many pages</p></div></article>"
+    rows += [(i, f"https://c.example/{i}", f"<p>{i}</p>{copy}") for i in range(40, 60)]  # copies are no template
+    rows += [(i, f"https://d.example/{i}", f"<article><div><p>{'Long words of near copies. ' * 9}</p></div><p>{i}</p></article>") for i in range(60, 80)]
+    got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
+    texts = {r.page_id: r.main_text for r in got.collect()}
+    assert all(texts[i] == f"News Story {i}. A sentence that all share." for i in range(40))
+    assert all(texts[i] == "One text on many pages" for i in range(40, 60))
+    assert all(texts[i].startswith("Long words") for i in range(60, 80))
+
+
 def test_pages_hold_their_documents(spark):
     """The articles of the test pages, with menus, adverts and footers around them."""
     for r in html_text.extract_text(spark.read.parquet(f"{SF}/pages.parquet")).limit(50).collect():

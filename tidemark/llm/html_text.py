@@ -1,9 +1,10 @@
 """Main text of web pages by removal of site templates.
 
 Pages are parsed into elements. Every element has a hash of its subtree (tag names and text, not addresses, which differ
-from page to page). Hashes are counted per host, once a page; a subtree that recurs on many pages of its host is template
-and is deleted. Elements that say what they are (menus, forms, comments of readers, ..) are deleted by name. What an
-article holds is its text, also a sentence that many articles share, so inside an article only the name counts.
+from page to page). Hashes are counted per host, once for pages of the same content; a subtree that recurs on many pages of
+its host is template and is deleted. Elements that say what they are (menus, forms, comments of readers, ..) are deleted by
+name. Inside an article this holds for whatever holds blocks (boxes, sections, lists, tables) and for elements without a meaning;
+its own paragraphs, headings and quotations are its text, also a sentence that many articles share.
 """
 
 from __future__ import annotations
@@ -33,6 +34,14 @@ BLOCKS = frozenset(
     "address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: An article's own blocks of prose, with all that is in them, and what is part of a sentence; neither is template there.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 hgroup blockquote pre li dd dt caption figcaption summary".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
+)
+PARTS = frozenset("tbody thead tfoot tr td th".split())  # of a table: no template on their own, but what is in them can be
+#: An element with more of an article's text than this is no template of it: copies that differ in a few words.
+MOST = 0.9
 RAW = frozenset("script style textarea title noscript iframe template xmp".split())
 #: Words of a class, id or role that mark what is not the article.
 MARKS = frozenset(
@@ -154,23 +163,62 @@ def subtree_hashes(root: Element) -> dict[Element, int]:
     return hashes
 
 
-def _template_candidates(root: Element) -> set[int]:
-    """Hashes of the subtrees with text that may be template: all but those of the article and around it."""
+def _containers(main: Element) -> Iterator[Element]:
+    """The elements within an article that may be template; what is deleted by name is left out."""
+    stack = [main]
+    while stack:
+        node = stack.pop()
+        if node is not main:
+            if node.tag in PROSE or node.tag in INLINE or node.tag in VOID or node.named:
+                continue
+            if node.tag not in PARTS:
+                yield node
+        stack.extend(c for c in reversed(node.children) if isinstance(c, Element))
+
+
+def _template_candidates(root: Element) -> tuple[set[int], int]:
+    """Hashes of the subtrees that may be template, and the hash of the page's content: its articles, else its body."""
+    mains = _mains(root)
     hashes = subtree_hashes(root)
-    kept: set[int] = set()
-    for main in _mains(root):
-        kept.update(id(n) for n in _walk(main))
-        node = main.parent
-        while node is not None:
-            kept.add(id(node))
-            node = node.parent
-    return {h for n, h in hashes.items() if id(n) not in kept and n.parent is not None and n.tag not in ("html", "body", "head")}
+    if not mains:
+        bodies = [n for n in _walk(root) if n.tag == "body"] or [root]
+        return {h for n, h in hashes.items() if n.parent is not None and n.tag not in ("html", "body", "head")}, _content(bodies, hashes)
+    return {hashes[n] for main in mains for n in _containers(main)}, _content(mains, hashes)
+
+
+def _content(nodes: list[Element], hashes: dict[Element, int]) -> int:
+    digest = blake2b(b"".join(hashes[n].to_bytes(8, "little", signed=True) for n in nodes), digest_size=8)
+    return int.from_bytes(digest.digest(), "little", signed=True)
+
+
+def _weights(root: Element) -> dict[Element, int]:
+    """Characters of each element's text, white space and what is deleted by name left out."""
+    weights: dict[Element, int] = {}
+    for node in reversed(list(_walk(root))):
+        own = sum(len("".join(c.split())) if isinstance(c, str) else weights[c] for c in node.children)
+        weights[node] = 0 if node is not root and node.named else own
+    return weights
+
+
+def _deleted(root: Element, mains: list[Element], template: set[int]) -> set[Element]:
+    """The elements that are template."""
+    if not template:
+        return set()
+    if not mains:
+        return {n for n, h in subtree_hashes(root).items() if h in template}
+    found: set[Element] = set()
+    for main in mains:
+        candidates = list(_containers(main))
+        if candidates:
+            hashes, weights = subtree_hashes(main), _weights(main)
+            found.update(n for n in candidates if hashes[n] in template and weights[n] <= MOST * weights[main])
+    return found
 
 
 def main_text(root: Element, template: set[int]) -> str:
     """Text of the blocks of the article, or of the page without an article, less what is deleted."""
     mains = _mains(root)
-    hashes = subtree_hashes(root) if template and not mains else {}
+    deleted = _deleted(root, mains, template)
     blocks: list[str] = []
     run: list[str] = []
 
@@ -188,7 +236,7 @@ def main_text(root: Element, template: set[int]) -> str:
                 run.append(node)
             elif closing:
                 end()
-            elif node is not main and (node.named or hashes.get(node) in template):
+            elif node is not main and (node.named or node in deleted):
                 if node.tag in BLOCKS:
                     end()
             else:
@@ -201,23 +249,25 @@ def main_text(root: Element, template: set[int]) -> str:
 
 
 def _hash_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(host, hash, pages) added up per batch; hash null counts the pages themselves."""
+    """(host, hash, content), each once per batch; hash null counts the pages themselves."""
     for batch in batches:
-        counts: dict[tuple[str, int | None], int] = {}
+        seen: dict[tuple[str, int | None, int], None] = {}
         for host, html in zip(batch["_host"], batch["_html"]):
-            counts[host, None] = counts.get((host, None), 0) + 1
-            for h in _template_candidates(parse(html)):
-                counts[host, h] = counts.get((host, h), 0) + 1
-        made = pd.DataFrame([(a, b, n) for (a, b), n in counts.items()], columns=["host", "hash", "pages"])
-        yield made.assign(hash=pd.array([b for _, b in counts], dtype="Int64"))
+            hashes, content = _template_candidates(parse(html))
+            seen[host, None, content] = None
+            seen.update(((host, h, content), None) for h in hashes)
+        made = pd.DataFrame(list(seen), columns=["host", "hash", "content"])
+        yield made.assign(hash=pd.array([b for _, b, _ in seen], dtype="Int64"))
 
 
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """One row per host that has template: host, template (hashes). ``pages`` has _host and _html.
 
-    A page has a bounded share in a subtree's count, so a host has at most ``elements of a page / min_share`` of them.
+    Pages of a host with the same content count as one, so an article with many copies is no template. A page has a bounded
+    share in a subtree's count, so a host has at most ``elements of a page / min_share`` of them.
     """
-    counts = pages.mapInPandas(_hash_rows, "host string, hash long, pages long").groupBy("host", "hash").agg(F.sum("pages").alias("n"))
+    seen = pages.mapInPandas(_hash_rows, "host string, hash long, content long").distinct()
+    counts = seen.groupBy("host", "hash").agg(F.count("*").alias("n"))
     counts = materialise(counts.where((F.col("n") >= min_pages) | F.col("hash").isNull()), "subtrees")
     sizes = counts.where("hash is null").select("host", F.col("n").alias("pages"))
     frequent = counts.where("hash is not null").join(sizes, "host").where(F.col("n") >= min_share * F.col("pages"))
@@ -227,8 +277,8 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
 def extract_text(pages: DataFrame, url: str = "url", html: str = "html", name: str = "main_text") -> DataFrame:
     """Add ``name``: the main text of each page, all other columns kept.
 
-    Null html counts as empty: an empty text. Pages without an address share the host ''. Repeated rows are pages of their own
-    in the counts. A page of any length is parsed whole; the parser's state is the page's elements.
+    Null html counts as empty: an empty text. Pages without an address share the host ''. Repeated rows count once
+    for templates. A page of any length is parsed whole; the parser's state is the page's elements.
     """
     bounded_batches(pages.sparkSession)
     address = F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^(?i)[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
