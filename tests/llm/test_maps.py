@@ -142,6 +142,26 @@ def test_neighbours_share_rare_terms():
     assert index.neighbours(4, np.zeros(5, bool)).tolist() == []
 
 
+def test_terms_are_weighed_by_the_corpus_and_none_is_left_out():
+    docs = [np.array([*range(100, 140), 7, 8], "<u4"), np.array([7, 8, 1], "<u4"), np.array([2, 3], "<u4")]
+    df = np.full(200, 5)  # forty terms of the seed are rarer than those that it shares
+    df[[7, 8]] = 6
+    assert packing.Index(docs, packing.Corpus(100, 10.0, df)).neighbours(0, np.array([True, False, False])).tolist() == [1]
+
+
+def test_related_documents_meet_wherever_they_are(spark, monkeypatch):
+    """Pairs that share rare words, one of each pair in the first partition and one in the last, in shards of few documents."""
+    monkeypatch.setattr(packing, "SHARD_DOCS", 8)
+    rare = [f"{a}{b}" for a in ("volcano", "harbour", "quantum", "penguin", "granite") for b in ("zq", "xw", "vj", "kx")]
+    rows = [(i, f"{rare[i % 20]} {rare[i % 20]} " + "the same old words of all " * 20) for i in range(40)]
+    docs = spark.createDataFrame(rows, "key long, text string").repartitionByRange(2, "key")
+    pieces = packing.pack(docs, WORDS, 320, keys=("key",)).collect()
+    sequences = defaultdict(set)
+    for p in pieces:
+        sequences[p.key].add(p.sequence_id)
+    assert sum(bool(sequences[i] & sequences[i + 20]) for i in range(20)) >= 15
+
+
 # sharding
 
 

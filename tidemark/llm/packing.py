@@ -1,12 +1,16 @@
 """Packing token sequences by lexical retrieval.
 
-Documents are packed in shards, each the documents that follow one another in a task's input up to a bound on tokens. A
-shard has an inverted index of its documents' token ids with BM25 weights. A window is filled greedily: it begins with a
-seed, the seed's strongest terms are looked up, and of the neighbours that are not used yet the best scored are taken, as
-long as they fit. What no neighbour fits into is filled with the head of the best one, whose rest opens the next window,
-so windows have no padding; the last tokens of a shard go into windows whose lengths are powers of two.
+Documents are encoded once and written. How many documents have a token, and the mean length, are counted over all of them.
+Every document then gets a key, its rarest tokens that others have too, and the whole table is sorted by it, so documents
+that share rare tokens come together wherever they were read. Shards are cut from this order, up to a bound on tokens.
 
-Shards never wait for one another and nothing is shuffled: a document's neighbours are sought within its shard.
+A shard has an inverted index of its documents' token ids with BM25 weights. A window is filled greedily: it begins with a
+seed, the seed's terms are looked up, and of the neighbours that are not used yet the best scored are taken, as long as
+they fit. What no neighbour fits into is filled with the head of the best one, whose rest opens the next window, so
+windows have no padding; the last tokens of a shard go into windows whose lengths are powers of two.
+
+Shards never wait for one another. A neighbour that shares none of a document's rarest tokens can be in another shard: the
+README gives the share of neighbours that are found.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -22,12 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_batches, first_row_number, whole_text
+from tidemark.session import materialise
 
 WINDOW = 4096
 END_ID = 2
 #: Tokens and documents of a shard: what one index holds in memory (16 MB of ids), whatever the size of the input.
 SHARD_TOKENS, SHARD_DOCS = 4 << 20, 4096
-QUERY_TERMS = 24  # strongest terms of a seed that are looked up
+KEY_TERMS = 4  # rarest tokens in the key by which documents are sorted
 K1, B = 1.2, 0.75
 CACHED_WORDS = 900_000
 CACHED_LENGTH = 64
@@ -97,11 +103,41 @@ class Encoder:
         return out
 
 
+@dataclass
+class Corpus:
+    """Of all documents: their number, their mean length, and for each token how many have it."""
+
+    n: int
+    mean: float
+    df: np.ndarray
+
+    @classmethod
+    def of(cls, docs: list[np.ndarray]) -> Corpus:
+        terms = np.concatenate([np.unique(d) for d in docs])
+        return cls(len(docs), float(np.mean([len(d) for d in docs])), np.bincount(terms))
+
+    def idf(self, terms: np.ndarray) -> np.ndarray:
+        """BM25 weights; nothing for a term that half of the documents have or that only one has."""
+        df = self.df[terms]
+        return np.where(df < 2, 0.0, np.maximum(np.log((self.n - df + 0.5) / (df + 0.5)), 0.0))
+
+    def key(self, ids: np.ndarray) -> bytes:
+        """The rarest tokens that other documents have too, rarest first."""
+        terms = np.unique(ids)
+        df = self.df[terms]
+        terms, df = terms[df > 1], df[df > 1]
+        if len(terms) > KEY_TERMS:
+            few = np.argpartition(df, KEY_TERMS - 1)
+            few = np.flatnonzero(df <= df[few[KEY_TERMS - 1]])  # ties are decided by the id, for each document alike
+            terms, df = terms[few], df[few]
+        return terms[np.lexsort((terms, df))][:KEY_TERMS].astype(">u4").tobytes()
+
+
 class Index:
-    """Inverted index of a shard: for each term the documents that have it and how often. BM25 weights are worked out for the
-    terms that are looked up; a term that half of the documents have weighs nothing."""
+    """Inverted index of a shard: for each term the documents that have it, with BM25 weights by the whole corpus."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None):
+        corpus = corpus or Corpus.of(docs)
         self.n, self.ids = len(docs), docs
         lengths = np.array([len(d) for d in docs])
         tokens = np.concatenate(docs)
@@ -113,33 +149,31 @@ class Index:
         ends_term = np.flatnonzero(begins)
         begins[1:] |= owner[1:] != owner[:-1]
         postings = np.flatnonzero(begins)
-        self.times = np.diff(np.append(postings, len(tokens)))
+        times = np.diff(np.append(postings, len(tokens)))
         self.docs, self.terms = owner[postings], tokens[ends_term]
         self.first = np.searchsorted(postings, ends_term)
         self.last = np.append(self.first[1:], len(postings))
-        df = self.last - self.first
-        self.idf = np.log((self.n - df + 0.5) / (df + 0.5))
-        self.idf[df < 2] = 0  # no neighbour has it
-        self.norm = K1 * (1 - B + B * lengths / max(lengths.mean(), 1.0))
+        norm = K1 * (1 - B + B * lengths / max(corpus.mean, 1.0))
+        idf = corpus.idf(self.terms)
+        self.strong = idf > 0
+        self.weights = np.repeat(idf, self.last - self.first) * times * (K1 + 1) / (times + norm[self.docs])
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share a strong term with the seed, best first, ties to the earlier document."""
+        """Unused documents that share a term of some weight with the seed, best first, ties to the earlier document."""
         at = np.searchsorted(self.terms, np.unique(self.ids[seed]))
-        shared = at[self.idf[at] > 0]
-        if len(shared) > QUERY_TERMS:
-            shared = shared[np.argsort(-self.idf[shared], kind="stable")[:QUERY_TERMS]]
+        shared = at[self.strong[at]]
         if not len(shared):
             return shared
-        spans = np.concatenate([np.arange(self.first[t], self.last[t]) for t in shared])
-        times, docs = self.times[spans], self.docs[spans]
-        weights = np.repeat(self.idf[shared], self.last[shared] - self.first[shared]) * times * (K1 + 1) / (times + self.norm[docs])
-        scores = np.bincount(docs, weights, self.n)
+        sizes = self.last[shared] - self.first[shared]
+        upto = np.cumsum(sizes)
+        spans = np.arange(upto[-1]) + np.repeat(self.first[shared] - (upto - sizes), sizes)
+        scores = np.bincount(self.docs[spans], self.weights[spans], self.n)
         scores[used] = 0
         found = np.flatnonzero(scores)
         return found[np.argsort(-scores[found], kind="stable")]
 
 
-def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+def pack_shard(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences of pieces (document, start, length) that hold every id once."""
     sequences: list[list[tuple[int, int, int]]] = []
     n = len(docs)
@@ -152,7 +186,7 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[
     used = left >= size
     if used.all():
         return sequences
-    index = Index(docs)
+    index = Index(docs, corpus)
     order = np.argsort(-(size - left), kind="stable")  # longest rests first
     pending, carried = 0, -1
     while True:
@@ -222,21 +256,75 @@ def powers_of_two(sequence: list[tuple[int, int, int]]) -> list[list[tuple[int,
     return out
 
 
+def count_corpus(encoded: DataFrame, kind: str, vocabulary: int) -> Corpus:
+    """Counts over all documents. The driver gets a row per token of the vocabulary, whatever the size of the input."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df, n, tokens = np.zeros(vocabulary, np.int64), 0, 0
+        for batch in batches:
+            docs = [np.frombuffer(data, kind) for data in batch["_ids"]]
+            if docs:
+                df += np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=vocabulary)
+            n, tokens = n + len(docs), tokens + sum(map(len, docs))
+        terms = np.flatnonzero(df)
+        yield pd.DataFrame({"term": [-2, -1, *terms], "n": [n, tokens, *df[terms]]}).astype("int64")
+
+    rows = encoded.select("_ids").mapInPandas(counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    found = {r["term"]: r["n"] for r in rows}
+    df = np.zeros(vocabulary, np.int64)
+    for term, n in found.items():
+        if term >= 0:
+            df[term] = n
+    n = found.get(-2, 0)
+    return Corpus(n, found.get(-1, 0) / max(n, 1), df)
+
+
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Pieces of all documents: ``keys``, position (of the row in its shard), start (in the document), length, ids_crc32
     (of the piece's ids as little-endian unsigned 32-bit numbers), doc_tokens, sequence_id, offset (in the sequence).
 
     A sequence has ``window`` ids, or a power of two of them at the end of a shard. Null text counts as empty and has its
-    end id alone. Rows are packed as they come: repeated rows, null keys and ties give a document each. A text that is
-    longer than a shard is a shard of its own.
+    end id alone. Every row is packed: repeated rows, null keys and ties give a document each. A text that is longer than
+    a shard is a shard of its own. Documents with one key, however many, are parted by their row number.
     """
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     with open(tokenizer_path, encoding="utf-8") as file:
         tokenizer = file.read()  # two megabytes, sent with the task
-    broadcast = docs.sparkSession.sparkContext.broadcast(tokenizer)
+    from tokenizers import Tokenizer
+
+    vocabulary = max(END_ID, *Tokenizer.from_str(tokenizer).get_vocab().values()) + 1
+    kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
+    broadcast = spark.sparkContext.broadcast(tokenizer)
+    names = [f"_k{i}" for i in range(len(keys))]
+    types = [t for _, t in docs.select(*keys).dtypes]
+    kept = ", ".join(f"{n} {t}" for n, t in zip(names, types))
+    whole = {n: "Int64" for n, t in zip(names, types) if t in ("bigint", "int", "smallint", "tinyint")}
+
+    def encoded_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder, row = Encoder(broadcast.value), first_row_number()
+        for batch in batches:
+            texts = batch.pop("_text").tolist()
+            data = [x for at in range(0, len(texts), 256) for x in encoder.encode(texts[at : at + 256])]
+            made = batch.astype(whole)
+            made["_row"] = np.arange(row, row + len(texts))
+            made["_ids"] = [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in data]
+            row += len(texts)
+            yield made
+
+    read = docs.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], whole_text(F.col(text)).alias("_text"))
+    encoded = materialise(read.mapInPandas(encoded_rows, f"{kept}, _row long, _ids binary"), "token_ids")
+    counts = spark.sparkContext.broadcast(count_corpus(encoded, kind, vocabulary))
+
+    @F.pandas_udf("binary")
+    def key_of(ids: pd.Series) -> pd.Series:
+        return pd.Series([counts.value.key(np.frombuffer(x, kind)) for x in ids], dtype=object)
+
+    laid = encoded.withColumn("_key", key_of("_ids"))
+    laid = laid.repartitionByRange("_key", "_row").sortWithinPartitions("_key", "_row").drop("_key", "_row")
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, sequence_id = Encoder(broadcast.value), first_row_number()
+        corpus, sequence_id = counts.value, first_row_number()
         shard: list[np.ndarray] = []
         owners: list[tuple] = []
         tokens = 0
@@ -244,34 +332,27 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, text: str =
         def flush() -> pd.DataFrame:
             nonlocal sequence_id
             rows = []
-            for sequence in pack_shard(shard, window):
+            for sequence in pack_shard(shard, window, corpus):
                 offset = 0
                 for d, start, length in sequence:
                     crc = zlib.crc32(shard[d][start : start + length].tobytes())
                     rows.append((*owners[d], d, start, length, crc, len(shard[d]), sequence_id, offset))
                     offset += length
                 sequence_id += 1
-            made = pd.DataFrame(rows, columns=[*keys, *names])
-            for key, kind in kinds.items():
-                made[key] = made[key].astype(kind)
-            return made
+            return pd.DataFrame(rows, columns=[*names, *columns]).astype(whole)
 
         for batch in batches:
-            texts = batch["_text"].tolist()
-            ids_of = list(batch[list(keys)].astype(object).where(batch[list(keys)].notna(), None).itertuples(index=False, name=None))
-            for at in range(0, len(texts), 256):
-                for owner, data in zip(ids_of[at : at + 256], encoder.encode(texts[at : at + 256])):
-                    ids = np.frombuffer(data, "<u4")
-                    if shard and (tokens + len(ids) > SHARD_TOKENS or len(shard) >= SHARD_DOCS):
-                        yield flush()
-                        shard, owners, tokens = [], [], 0
-                    shard.append(ids)
-                    owners.append(owner)
-                    tokens += len(ids)
+            ids_of = batch[names].astype(object).where(batch[names].notna(), None).itertuples(index=False, name=None)
+            for owner, data in zip(ids_of, batch["_ids"]):
+                ids = np.frombuffer(data, kind).astype("<u4")
+                if shard and (tokens + len(ids) > SHARD_TOKENS or len(shard) >= SHARD_DOCS):
+                    yield flush()
+                    shard, owners, tokens = [], [], 0
+                shard.append(ids)
+                owners.append(owner)
+                tokens += len(ids)
         if shard:
             yield flush()
 
-    names = [part.split()[0] for part in PIECE.split(", ")]
-    kinds = {k: "Int64" for k, t in docs.select(*keys).dtypes if t in ("bigint", "int", "smallint", "tinyint")}
-    schema = ", ".join(f"{k} {t}" for k, t in docs.select(*keys).dtypes) + ", " + PIECE
-    return docs.select(*keys, whole_text(F.col(text)).alias("_text")).mapInPandas(packed, schema)
+    columns = [part.split()[0] for part in PIECE.split(", ")]
+    return laid.mapInPandas(packed, f"{kept}, {PIECE}").select(*[F.col(n).alias(k) for n, k in zip(names, keys)], *columns)
