@@ -194,6 +194,13 @@ def test_hot_group_is_cut_as_far_as_needed(spark):
     assert "Python" not in sharding.shard_rows(docs, 10)._jdf.queryExecution().toString()
 
 
+def test_a_third_of_all_rows_is_in_as_few_shards_as_hold_it(spark):
+    docs = spark.range(12_000).selectExpr("id as doc_id", "if(id % 3 = 0, 'same', if(id % 30 = 1, 'other', concat('text ', id div 6))) as text")
+    placed = sharding.shard_rows(docs, 40).groupBy("link").agg(F.countDistinct("shard").alias("s"), F.count("*").alias("n")).collect()
+    assert {r.n: r.s for r in placed if r.n >= 300} == {4000: 14, 400: 2}  # shards of 300 rows
+    assert sharding.place_large([10, 7, 3], [5, 5, 5, 5]) == [[(0, 5), (1, 5)], [(2, 5), (3, 2)], [(3, 3)]]
+
+
 # page text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
