@@ -83,6 +83,16 @@ def test_language_of_odd_rows(spark, odd_docs, no_docs):
     assert one.predict(["words"])[0][0] == "en"
 
 
+def test_every_label_is_learned(spark):
+    """More than 200 labels, each with words of its own."""
+    rows = [(3 * i + j, f"l{i:03d}", " ".join(f"{chr(0x4E00 + 7 * i)}{chr(0x4E03 + 7 * i)}" for _ in range(20))) for i in range(230) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = language_id.learn_languages(language_id.labelled_sample(docs))
+    assert len(model.languages) == 230
+    texts = [r[2] for r in rows[::3]]
+    assert sum(p[0] == r[1] for p, r in zip(model.predict(texts), rows[::3])) >= 220
+
+
 # packing
 
 

@@ -25,8 +25,8 @@ from tidemark.session import materialise
 
 #: Bound on the labelled rows of each language that the classifiers are fitted on, the first by a hash of the id.
 SAMPLE_ROWS = 1_000
-#: Most languages learned, the most frequent ones: the codewords must fit the task.
-MAX_CODES = 200
+#: Labelled rows by which the bits are centred and weighed, and ids sent to the tasks: with more, a share of each language, or a join.
+FIT_ROWS = 200_000
 GRAM = 3
 BUCKETS = 1 << 15
 UNDETERMINED = "und"
@@ -101,8 +101,8 @@ class LanguageModel:
 
     def shares(self, margins: np.ndarray) -> np.ndarray:
         """Probability of each language: a softmax over the weighted losses of its codeword."""
-        loss = np.logaddexp(0, -margins[:, None, :] * self.code[None]) * self.bit_weight
-        loss = loss.sum(axis=2)
+        plus, minus = np.logaddexp(0, -margins) * self.bit_weight, np.logaddexp(0, margins) * self.bit_weight
+        loss = plus @ (self.code > 0).T.astype(float) + minus @ (self.code < 0).T.astype(float)
         share = np.exp(loss.min(axis=1, keepdims=True) - loss)
         return share / share.sum(axis=1, keepdims=True)
 
@@ -125,20 +125,21 @@ class LanguageModel:
 def labelled_sample(docs: DataFrame, label: str = "lang", rows: int = SAMPLE_ROWS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """At most ``rows`` documents with letters for each label (text, lang), the first by a hash of their id; written once.
 
-    Only the most frequent ``MAX_CODES`` labels, so at most their product is sorted, and sent to the tasks as (id, label).
+    Every label is learned; the driver gets one count for each.
     """
     bounded_batches(docs.sparkSession)
     base = docs.select(F.col(key).alias("_id"), F.col(label).cast("string").alias("lang"), F.col(text).alias("text"))
     base = base.where("lang is not null and text is not null and _id is not null")
-    frequent = base.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_CODES).collect()
-    if not frequent:
+    counted = base.groupBy("lang").count().collect()
+    if not counted:
         return materialise(base.select("text", "lang"), "labelled")
     # rows that cannot be among the first are left out before any of them are gathered, so a frequent label is no burden
-    share = F.create_map(*[F.lit(x) for r in frequent for x in (r["lang"], min(1.0, (2.0 * rows + 100) / r["count"]))])
+    share = F.create_map(*[F.lit(x) for r in counted for x in (r["lang"], min(1.0, (2.0 * rows + 100) / r["count"]))])
     keys = base.where(draw("_id") <= F.element_at(share, F.col("lang"))).select("_id", "lang")
     first = Window.partitionBy("lang").orderBy(draw("_id"), "_id")
     chosen = keys.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= rows).select("_id", "lang").distinct()
-    return materialise(base.join(F.broadcast(chosen), ["_id", "lang"]).select("text", "lang"), "labelled")
+    chosen = F.broadcast(chosen) if rows * len(counted) <= FIT_ROWS else chosen
+    return materialise(base.join(chosen, ["_id", "lang"]).select("text", "lang"), "labelled")
 
 
 def _gram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,22 +153,28 @@ def _gram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def learn_languages(sample: DataFrame) -> LanguageModel:
     """Fit the bits on a bounded sample (text, lang): see ``labelled_sample``.
 
-    What comes to the driver are the counts of ``BUCKETS`` n-gram buckets for each language. No labelled row gives a model
-    without languages: every text is then undetermined. One language is always predicted if it is the only one.
+    Every language of the sample is learned. What comes to the driver are counts of ``BUCKETS`` n-gram buckets, one language
+    after the other; it keeps a sum for each bit, so memory grows with the log of the number of languages. No labelled row
+    gives a model without languages: every text is then undetermined. One language is always predicted if it is the only one.
     """
-    counts = sample.repartition("lang").mapInPandas(_gram_counts, "lang string, counts array<long>, rows long")
-    summed: dict[str, np.ndarray] = {}
-    for row in counts.toLocalIterator():
-        summed[row["lang"]] = summed.get(row["lang"], 0) + np.array(row["counts"])
-    languages = sorted(sorted(summed, key=lambda lang: (-summed[lang].sum(), lang))[:MAX_CODES])
+    counts = materialise(sample.repartition("lang").mapInPandas(_gram_counts, "lang string, counts array<long>, rows long"), "grams")
+    total = F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)
+    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum(total).alias("n")).collect()}
+    languages = sorted(totals)
     code = codewords(len(languages))
     if not languages:
         return LanguageModel([], np.ones((0, 1)), np.zeros((BUCKETS, 1), np.float32), np.zeros(1), np.ones(1), np.ones(1))
-    each = np.array([summed[lang] for lang in languages], float)
-    each /= each.sum(axis=1, keepdims=True)
+    place = {lang: i for i, lang in enumerate(languages)}
+    every, plus = np.zeros(BUCKETS), np.zeros((code.shape[1], BUCKETS))  # sums of the shares of buckets: all, and the +1 side of each bit
+    for row in counts.toLocalIterator():
+        share = np.array(row["counts"], float) / totals[row["lang"]]
+        every += share
+        plus[code[place[row["lang"]]] > 0] += share
     odds = np.zeros((BUCKETS, code.shape[1]), np.float32)
     for bit in range(code.shape[1]):
-        sides = [each[code[:, bit] == side].mean(axis=0) if (code[:, bit] == side).any() else np.full(BUCKETS, 1 / BUCKETS) for side in (1, -1)]
+        sizes = [(code[:, bit] == side).sum() for side in (1, -1)]
+        sums = plus[bit], np.maximum(every - plus[bit], 0)
+        sides = [part / n if n else np.full(BUCKETS, 1 / BUCKETS) for part, n in zip(sums, sizes)]
         smooth = SMOOTHING / BUCKETS / 10
         odds[:, bit] = np.log(sides[0] + smooth) - np.log(sides[1] + smooth)
     model = LanguageModel(languages, code, odds, np.zeros(code.shape[1]), np.ones(code.shape[1]), np.ones(code.shape[1]))
@@ -176,15 +183,18 @@ def learn_languages(sample: DataFrame) -> LanguageModel:
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            side = model.code[[model.languages.index(lang) for lang in batch["lang"]]]
+            side = model.code[[place[lang] for lang in batch["lang"]]]
             margins = model.margins(batch["text"].tolist())
             yield pd.DataFrame({"m": list(margins), "y": list(side)})
 
-    known = sample.where(F.col("lang").isin(languages))
+    part = min(1.0, FIT_ROWS / max(1, counts.agg(F.sum("rows")).first()[0]))
+    known = sample if part == 1 else sample.where(draw("text") < part)
     fit = known.mapInPandas(measured, "m array<double>, y array<double>").toPandas()  # one number per bit and sampled row
     margins, side = np.vstack(fit["m"]), np.vstack(fit["y"])
     for bit in range(code.shape[1]):
         plus, minus = margins[side[:, bit] > 0, bit], margins[side[:, bit] < 0, bit]
+        if not len(plus) or not len(minus):
+            continue
         model.bias[bit] = -(np.median(plus) + np.median(minus)) / 2
         spread = np.median(abs(np.concatenate([plus + model.bias[bit], minus + model.bias[bit]])))
         model.scale[bit] = 4 / max(float(spread), 1e-6)
