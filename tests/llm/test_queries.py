@@ -18,6 +18,7 @@ COLUMNS = {
     "op8_ngram_jaccard": "doc_id:bigint n_shingles:bigint component_id:bigint",
     "op9_html_text": "page_id:bigint url:string text:string n_chars:bigint",
     "op10_language": "doc_id:bigint held_out:boolean lang_pred:string score:double",
+    "op11_fingerprints": "doc_id:bigint n_chars:bigint edited_sha256:string fingerprint:string edited_fingerprint:string near_edited:double near_next:double",
 }
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, html_text, jaccard_join, language_id, packing, sentencepiece_lattice, sharding, tokens, top_k, toxicity
+from tidemark.llm import exact_dedup, fingerprints, html_text, jaccard_join, language_id, packing, sentencepiece_lattice, sharding, tokens, top_k, toxicity
 from tidemark.llm.common import held_out
 
 TOKEN_LIMIT = 4096
@@ -84,6 +84,11 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they and those of the next document are."""
+    return fingerprints.fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_toxicity": op2_toxicity,
@@ -95,6 +100,7 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_html_text": op9_html_text,
     "op10_language": op10_language,
+    "op11_fingerprints": op11_fingerprints,
 }
 
 ORACLES: dict[str, str] = {
