@@ -19,6 +19,8 @@ COLUMNS = {
     "op9_html_text": "page_id:bigint url:string text:string n_chars:bigint",
     "op10_language": "doc_id:bigint held_out:boolean lang_pred:string score:double",
     "op11_fingerprints": "doc_id:bigint n_chars:bigint edited_sha256:string fingerprint:string edited_fingerprint:string near_edited:double near_next:double",
+    "op12_conversation_trie": "conv_id:bigint depth:bigint parent_conv_id:bigint n_convs:bigint n_children:bigint n_leaves:bigint saved_tokens:bigint ends_sha256:string",
+    "op13_runs": "doc_id:bigint n_runs:bigint start:bigint length:bigint period:bigint exponent_milli:bigint runs_sha256:string collapsed_sha256:string",
 }
 
 

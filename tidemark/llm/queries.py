@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, fingerprints, html_text, jaccard_join, language_id, packing, sentencepiece_lattice, sharding, tokens, top_k, toxicity
+from tidemark.llm import conversation_trie, exact_dedup, fingerprints, html_text, jaccard_join, language_id, packing, runs
+from tidemark.llm import sentencepiece_lattice, sharding, tokens, top_k, toxicity
 from tidemark.llm.common import held_out
 
 TOKEN_LIMIT = 4096
@@ -89,6 +90,17 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(_table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all rebuilt conversations."""
+    return conversation_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, a tenth of which get a periodic end first."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return runs.periodic_runs(docs, planted=True).select("doc_id", "runs.*")
+
+
 QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_toxicity": op2_toxicity,
@@ -101,6 +113,8 @@ QUERIES = {
     "op9_html_text": op9_html_text,
     "op10_language": op10_language,
     "op11_fingerprints": op11_fingerprints,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_runs": op13_runs,
 }
 
 ORACLES: dict[str, str] = {
@@ -138,4 +152,37 @@ ORACLES: dict[str, str] = {
         SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
         FROM reach JOIN sets s ON s.r = reach.x JOIN sets o ON o.r = reach.y GROUP BY s.r, s.doc_id, len(s.g)
     """,
+    # CRC-32 bit by bit: -1 stands for a shift, other values for the next byte
+    "op12_conversation_trie": r"""
+        WITH t AS (
+            SELECT conv_id AS c, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS turn,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+                       md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), own AS (SELECT c, list(turn ORDER BY i) AS a FROM t GROUP BY c
+        ), h AS (
+            SELECT c, a, xor(4294967295, list_reduce(
+                list_concat([4294967295], flatten(list_transform(string_split(c::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) % 4 AS h
+            FROM own
+        ), r AS (
+            SELECT h.c, list_concat(coalesce(b.a, [])[1:h.h], h.a[h.h + 1:]) AS a FROM h LEFT JOIN own b ON b.c = h.c - h.c % 20
+        ), m AS (SELECT c, a[1:d] AS k, d, len(a) = d AS is_end FROM (SELECT c, a, unnest(range(0, len(a) + 1)) AS d FROM r)
+        ), nodes AS (
+            SELECT k, d, min(c) AS conv_id, count(*) AS n_convs,
+                   sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (is_end), '')) AS ends_sha256
+            FROM m GROUP BY k, d
+        ), children AS (SELECT k[1:d - 1] AS k, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL
+        ), each AS (
+            SELECT nodes.*, coalesce(children.n, 0) AS n_children,
+                   CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(k[d].text, '[^\x20\x09-\x0D]+')) END AS saved
+            FROM nodes LEFT JOIN children USING (k, d)
+        ), subtrees AS (
+            SELECT k[1:j] AS k, j AS d, sum(saved) AS saved, count(*) FILTER (n_children = 0) AS leaves
+            FROM (SELECT *, unnest(range(0, d + 1)) AS j FROM each) GROUP BY ALL
+        )
+        SELECT e.conv_id, e.d AS depth, p.conv_id AS parent_conv_id, e.n_convs, e.n_children, s.leaves AS n_leaves,
+               s.saved::BIGINT AS saved_tokens, e.ends_sha256
+        FROM each e JOIN subtrees s USING (k, d) LEFT JOIN each p ON p.d = e.d - 1 AND p.k = e.k[1:e.d - 1]
+    """,
 }
