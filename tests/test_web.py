@@ -1,5 +1,7 @@
 import gzip
+import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +90,81 @@ def test_failures_are_counted_and_good_records_kept(spark, manifest):
     assert counters.get == {"failed_segments": 4, "failed_records": 1, "skipped_archives": 1}
 
 
+def everything(df):
+    return sorted(map(str, df.collect()))
+
+
+def ranges_of(listing, split_bytes):
+    return sorted((r.uri[-6:], r.start, r.end) for r in archives.archive_ranges(listing, split_bytes).collect())
+
+
+def split_locally(uri, split_bytes):
+    """The rows of an archive by its ranges, without Spark."""
+    listing = pd.DataFrame({"number": [0], "uri": [uri]})
+    pieces = pd.concat(archives._cut(split_bytes)(iter([listing])))
+    if (pieces.end < 0).all():
+        return list(archives._archive_rows(uri))
+    traced = pd.concat(archives._trace(iter([pieces])))
+    while True:
+        chained = archives._chained(traced)
+        wrong = chained[~chained.right.astype(bool)]
+        if not len(wrong):
+            break
+        again = pd.concat(archives._trace(iter([wrong.drop(columns="right")])))
+        traced = pd.concat([traced[~traced.end.isin(wrong.end)], again])
+    return [row for r in chained.itertuples() for row in archives._archive_rows(uri, r.start, r.end)]
+
+
+def odd_archives():
+    """Members of one record, of several, with a record over two members; plain archives; pages that hold archives; damage."""
+    inner = gzip.compress(record("inner", b"not a record of its own" * 3))
+    records = [record(f"u{i}", f"text {i} ".encode() * (i % 20)) for i in range(30)]
+    cut = b"".join(records)
+    packed = [gzip.compress(r) for r in records]
+    # not packed at all within its member, so the member inside looks like one of the archive
+    holders = (records[5], record("holder", inner * 3), records[6], record("h2", b"\r\n\r\n" + records[7]), record("bad", b"\xff"))
+    return {
+        "ones": b"".join(packed),
+        "joined": b"".join(gzip.compress(b"".join(records[i : i + 7])) for i in range(0, 30, 7)),
+        "spread": b"".join(gzip.compress(cut[i : i + 500]) for i in range(0, len(cut), 500)),
+        "hidden": b"".join(gzip.compress(r, compresslevel=0) for r in holders),
+        "plain": records[1] + record("p", b"\r\n\r\n" + records[2] * 3) + cut,
+        "one member": gzip.compress(cut),
+        "empty": b"",
+        "padded": b"".join(packed) + b"\0" * 100,
+        "cut": cut[:-100],
+        "cut member": b"".join(packed)[:-30],
+        "damaged": b"".join(packed[:9]) + packed[9][:-20] + b"".join(packed[10:]),
+        "gap": cut[:3000] + b"nothing" + cut[3000:],
+    }
+
+
+@pytest.mark.parametrize("name", list(odd_archives()))
+def test_ranges_of_any_size_give_the_same_rows(tmp_path, name):
+    path = tmp_path / "a.warc"
+    path.write_bytes(odd_archives()[name])
+    want = list(archives._archive_rows(f"file:{path}"))
+    for split_bytes in (1, 13, 150, 700, 4000):
+        assert split_locally(f"file:{path}", split_bytes) == want, split_bytes
+
+
+def test_split_archives_in_tasks(spark, manifest):
+    listing = manifest(*odd_archives().values(), extra=["file:/nowhere", "s3:/bad", "nowhere://x"])
+    assert everything(archives.scan_archives(listing, 2000)) == everything(archives.scan_archives(listing))
+
+
+def test_large_archive_is_read_by_ranges(spark, manifest):
+    packed = b"".join(gzip.compress(record(f"u{i}", random.Random(i).randbytes(300).hex().encode())) for i in range(2000))
+    listing = manifest(packed)
+    cuts = ranges_of(listing, len(packed) // 10)
+    assert len(cuts) >= 10 and cuts[0][1] == 0 and all(a[2] <= b[1] for a, b in zip(cuts, cuts[1:]))
+    got = archives.scan_warc(listing, len(packed) // 10)
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() >= 5
+    assert got.count() == got.select("target_uri").distinct().count() == 2000
+    # an archive of one member stays whole: the later ranges have no record to begin with
+    assert len(ranges_of(manifest(gzip.compress(b"".join(record(f"u{i}", bytes(range(200))) for i in range(500)))), 500)) == 1
+
+
 def test_scan_to_index(spark, manifest):
     data = record("u1", b"call +31 20 1234567") + record("u2", b"or 0031201234567, x0031201234567")
     found_ = phones.extract_phones(archives.scan_warc(manifest(data)), "payload", "target_uri")
