@@ -35,7 +35,7 @@ END_ID = 2
 SHARD_TOKENS, SHARD_DOCS = 4 << 20, 4096
 KEY_TERMS = 4  # rarest tokens in the key by which documents are sorted
 K1, B = 1.2, 0.75
-CACHED_WORDS = 900_000
+CACHED_WORDS = 300_000
 CACHED_LENGTH = 64
 WORD_END = "</w>"  # fixed value: how the tokenizer marks the last token of a word
 PIECE = "position long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -144,6 +144,7 @@ class Index:
         owner = np.repeat(np.arange(self.n, dtype=np.int32), lengths)
         order = np.argsort(tokens.astype(np.uint16) if tokens.max() < 1 << 16 else tokens, kind="stable")
         tokens, owner = tokens[order], owner[order]
+        del order
         begins = np.ones(len(tokens), bool)  # of each (term, document)
         np.not_equal(tokens[1:], tokens[:-1], out=begins[1:])
         ends_term = np.flatnonzero(begins)
@@ -156,7 +157,9 @@ class Index:
         norm = K1 * (1 - B + B * lengths / max(corpus.mean, 1.0))
         idf = corpus.idf(self.terms)
         self.strong = idf > 0
-        self.weights = np.repeat(idf, self.last - self.first) * times * (K1 + 1) / (times + norm[self.docs])
+        times = times.astype(np.float32)
+        self.weights = np.repeat(idf.astype(np.float32), self.last - self.first)
+        self.weights *= times * np.float32(K1 + 1) / (times + norm[self.docs].astype(np.float32))
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
         """Unused documents that share a term of some weight with the seed, best first, ties to the earlier document."""
