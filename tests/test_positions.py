@@ -229,6 +229,27 @@ def test_intersect(spark):
     assert overlap(a, b, bin_width=100) == want
 
 
+def test_crowded_bins_on_both_sides(spark, monkeypatch):
+    """All bins swept by strips, against all pairs; equal starts, equal intervals, intervals over many bins."""
+    monkeypatch.setattr(intervals, "CROWDED", 0)
+    monkeypatch.setattr(intervals, "STRIP", 3)
+    rng = random.Random(6)
+    for width, spread in ((40, 300), (1000, 40)):
+        a, b = ([(s, s + rng.randrange(1, 90)) for s in (rng.randrange(spread) for _ in range(70))] for _ in range(2))
+        want = sorted((max(x[0], y[0]), min(x[1], y[1]), *x, *y) for x in a for y in b if x[0] < y[1] and y[0] < x[1])
+        got = intervals.interval_intersect(spans(spark, *a), spans(spark, *b), bin_width=width).drop("contig")
+        assert sorted(map(tuple, got.collect())) == want
+
+
+def test_a_crowded_bin_costs_what_overlaps(spark):
+    """A hundred thousand intervals a side in one bin, ten thousand million pairs, of which one in 10^5 overlaps."""
+    n = 100_000
+    a = spark.range(n).selectExpr("'c' as contig", "id * 4 as start", "id * 4 + 2 as end")
+    b = spark.range(n).selectExpr("'c' as contig", "id * 4 + if(id % 10 = 0, 1, 2) as start", "id * 4 + 4 as end")
+    got = intervals.interval_intersect(a, b, bin_width=1 << 30)
+    assert got.agg(F.count("*"), F.sum(F.col("end") - F.col("start"))).first() == (n // 10, n // 10)
+
+
 def test_interval_text(spark, tmp_path):
     df = spans(spark, (1, 100), (200, 300), contig="chr1")
     assert [r.value for r in intervals.to_bed(df).collect()] == ["chr1\t0\t99", "chr1\t199\t299"]

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.positions import bed_string, div, region_string
-from tidemark.operators.skew import skew_join
+from tidemark.operators.ordering import ranked
+from tidemark.operators.skew import lookup_join, skew_join
 from tidemark.session import materialise
 
 # Fixed value: reads this close to each other belong to one region.
@@ -16,6 +17,8 @@ READ_GAP = 51
 SLAB = 65_536
 INTERSECT_BIN = 1_024
 EQUAL_ROWS = 1_000  # equal intervals that stay together
+CROWDED = 1 << 22  # pairs of a bin up to which all are compared
+STRIP = 64  # starts of a crowded bin that are compared together
 
 
 def _islands(spans: DataFrame, gap: int, slab: int) -> DataFrame:
@@ -85,16 +88,59 @@ def _binned(spans: DataFrame, width: int, prefix: str) -> DataFrame:
     return spans.withColumn("bin", F.explode(F.sequence(first, last)))
 
 
+def _met_in_strips(points: DataFrame, spans: DataFrame, pos: str, low: Column, high: Column) -> DataFrame:
+    """Each of ``points`` with each of ``spans`` of its bin for which low <= pos < high.
+
+    The points of a bin are numbered by position and cut into strips of ``STRIP``. A sort of the points with both ends of the
+    spans tells how many points lie before an end, thus which strips a span reaches. It is compared with the points of
+    these: all of them but those of the first and the last strip are results.
+    """
+    names = spans.columns
+    edges = spans.select(F.struct(*names).alias("span"), "contig", "bin", F.explode(F.array(low, high)).alias("at"))
+    edges = edges.withColumn("point", F.lit(None).cast(points.select(F.struct("*")).schema[0].dataType))
+    marks = points.select(F.lit(None).cast(edges.schema["span"].dataType).alias("span"), "contig", "bin", F.col(pos).alias("at"), F.struct("*").alias("point"))
+    is_point, keys = F.col("point").isNotNull(), ["contig", "bin"]
+    among = materialise(ranked(edges.union(marks), ["at", is_point, "span", "point"], keys=keys, name="among"), "among")
+    counted = ranked(among.filter(~is_point), ["among"], keys=keys, name="nth")
+    before = counted.groupBy("contig", "bin", "span").agg(F.min(F.col("among") - F.col("nth")).alias("first"), F.max(F.col("among") - F.col("nth")).alias("last"))
+    reached = before.filter("last > first").select("span.*", F.explode(F.sequence(div("first", STRIP), div(F.col("last") - 1, STRIP))).alias("strip"))
+    numbered = ranked(among.filter(is_point), ["among"], keys=keys, name="nth")
+    strips = numbered.select("point.*", div(F.col("nth") - 1, STRIP).alias("strip"))
+    return skew_join(reached, strips, [*keys, "strip"]).filter((low <= F.col(pos)) & (F.col(pos) < high))
+
+
+def _met_in_crowds(left: DataFrame, right: DataFrame, bin_width: int) -> DataFrame:
+    """Pairs whose overlap begins in their bin: there begins one of the two, within the other."""
+    starting = lambda rows, pos: rows.filter(F.col("bin") == div(pos, bin_width))
+    columns = ["contig", "a_start", "a_end", "a_times", "b_start", "b_end", "b_times"]
+    in_a = _met_in_strips(starting(right, "b_start"), left, "b_start", F.col("a_start"), F.col("a_end"))
+    in_b = _met_in_strips(starting(left, "a_start"), right, "a_start", F.col("b_start") + 1, F.col("b_end"))
+    return in_a.select(*columns).union(in_b.select(*columns))
+
+
 def interval_intersect(a: DataFrame, b: DataFrame, bin_width: int = INTERSECT_BIN) -> DataFrame:
     """(contig, start, end, a_start, a_end, b_start, b_end): one row per overlap of half-open intervals.
 
     Intervals meet in the bins they cover and the pair is kept in the bin where the overlap begins, so there is no
-    comparison beyond the neighbourhood and no row twice. Choose ``bin_width`` near the usual interval length. Crowded
-    bins are split by ``skew_join``; equal intervals are counted first and repeated at the end.
+    comparison beyond the neighbourhood and no row twice. Choose ``bin_width`` near the usual interval length. A bin with
+    more than ``CROWDED`` pairs is cut by the order of its starts: n intervals with c overlaps take the sorting of n rows and
+    the order of c + n comparisons, however crowded the bin. Equal intervals are counted first and repeated at the end.
     """
     left, right = (_binned(_counted(df, side), bin_width, side) for df, side in ((a, "a"), (b, "b")))
-    start, end = F.greatest("a_start", "b_start"), F.least("a_end", "b_end")
-    met = skew_join(left, right, ["contig", "bin"]).filter((start < end) & (F.col("bin") == div(start, bin_width)))
+    start, end, keys = F.greatest("a_start", "b_start"), F.least("a_end", "b_end"), ["contig", "bin"]
+    sizes = [side.groupBy(*keys).agg(F.count("*").alias(f"n_{name}")) for side, name in ((left, "a"), (right, "b"))]
+    shared = materialise(sizes[0].join(sizes[1], keys), "bins")
+    crowded = materialise(shared.filter(F.col("n_a").cast("double") * F.col("n_b") > CROWDED).select(*keys), "crowded")
+    columns = ["contig", "a_start", "a_end", "a_times", "b_start", "b_end", "b_times"]
+    if crowded.isEmpty():
+        met = skew_join(left, right, keys, weights=shared, weight="n_a")
+    else:
+        plain = shared.join(crowded, keys, "left_anti")
+        met = skew_join(lookup_join(left, crowded, keys, "left_anti"), right, keys, weights=plain, weight="n_a")
+    met = met.filter((start < end) & (F.col("bin") == div(start, bin_width))).select(*columns)
+    if not crowded.isEmpty():
+        sides = [materialise(lookup_join(side, crowded, keys, "left_semi"), "crowd") for side in (left, right)]
+        met = met.union(_met_in_crowds(*sides, bin_width))
     columns = ["contig", start.alias("start"), end.alias("end"), "a_start", "a_end", "b_start", "b_end"]
     each = met.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("a_times") * F.col("b_times"))).alias("_nth"))
     return each.drop("_nth")
