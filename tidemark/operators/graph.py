@@ -192,7 +192,8 @@ def separation_report(
 ) -> DataFrame:
     """(section, nth, line): the whole report as rows; sort by section and nth to print it.
 
-    Sections: 1 population, 2 groups, 3 distances, 4 to 6 totals, 7 and 8 names of men and women at the last distance.
+    Sections: 1 population, 2 groups, 3 distances, 4 to 6 totals, 7 and 8 names of men and women at the last distance, each
+    under its heading (nth 0).
     """
     population = population_summary(vertices, members)
     histogram = distance_histogram(distances, vertices, max_distance)
@@ -232,6 +233,8 @@ def separation_report(
     ):
         text = F.format_string(f"Total number of {who} from distance 1 to {max_distance} = %d, ratio = %s", F.col(value), ratio(share))
         parts.append(lines(overall, section, first, text))
+    for section, who in ((7, "male actors"), (8, "female actors (actresses)")):
+        parts.append(lines(overall, section, F.lit(0), F.lit(f"List of {who} at distance {max_distance}:")))
     names = numbered_names(at_distance(distances, vertices, max_distance))
     parts.append(
         names.select(

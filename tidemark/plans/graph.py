@@ -231,6 +231,8 @@ UNION ALL SELECT 4, 1, printf('Total number of actors from distance 1 to {AT} =
 UNION ALL SELECT 5, 1, printf('Total number of male actors from distance 1 to {AT} = %d, ratio = %.6f', males, male_ratio) FROM overall
 UNION ALL SELECT 6, 1, printf('Total number of female actors (actresses) from distance 1 to {AT} = %d, ratio = %.6f', females, female_ratio)
   FROM overall
+UNION ALL SELECT 7, 0, 'List of male actors at distance {AT}:'
+UNION ALL SELECT 8, 0, 'List of female actors (actresses) at distance {AT}:'
 UNION ALL SELECT CASE WHEN is_male THEN 7 ELSE 8 END, nth, printf('%d. %s', nth, name) FROM named
 """,
 }
