@@ -92,5 +92,7 @@ def test_report(spark):
         "Total number of actors from distance 1 to 6 = 6, ratio = 0.600000",
         "Total number of male actors from distance 1 to 6 = 3, ratio = 0.600000",
         "Total number of female actors (actresses) from distance 1 to 6 = 3, ratio = 0.600000",
+        "List of male actors at distance 6:",
         "1. p6",
+        "List of female actors (actresses) at distance 6:",
     ]
