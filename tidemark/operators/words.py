@@ -14,16 +14,16 @@ def text_lines(df: DataFrame, text: str) -> DataFrame:
     return df.select(F.explode(F.split(text, "\n", -1)).alias("value"))
 
 
-def _neighbours(lines: DataFrame, line: str = "value") -> DataFrame:
-    """Each lower-case token next to the one before it, as ``left`` and ``right``: its word and edge marks, worked out once
-    per token. NULL stands for the start and for the end of the line."""
+def _neighbours(lines: DataFrame, line: str = "value", marks: bool = True) -> DataFrame:
+    """Each lower-case token next to the one before it, as ``left`` and ``right``: its word and (with ``marks``) edge marks,
+    worked out once per token. NULL stands for the start and for the end of the line."""
 
     def judged(token: Column) -> Column:
-        marks = {"starts": starts_with_mark(token), "ends": ends_with_mark(token), "valid": has_letter(token)}
-        return F.struct(strip_edges(token).alias("word"), *[c.alias(n) for n, c in marks.items()])
+        edges = [starts_with_mark(token).alias("starts"), ends_with_mark(token).alias("ends")] if marks else []
+        return F.struct(strip_edges(token).alias("word"), *edges, has_letter(token).alias("valid"))
 
     each = lines.select(F.transform(tokens(F.lower(line)), judged).alias("t"))
-    edge = F.lit(None).cast("struct<word:string,starts:boolean,ends:boolean,valid:boolean>")
+    edge = F.lit(None).cast(each.schema["t"].dataType.elementType)
     both = F.arrays_zip(F.array_prepend("t", edge).alias("left"), F.array_append("t", edge).alias("right"))
     pairs = each.select(F.inline(both).alias("left", "right"))
     # a pair counts if both its tokens hold a word (the ends of the line count as words)
@@ -52,7 +52,7 @@ def bigrams(lines: DataFrame, line: str = "value") -> DataFrame:
 def word_counts(lines: DataFrame, line: str = "value") -> DataFrame:
     """(word, n): occurrences that are followed by another word or by the end of the line."""
     return (
-        _neighbours(lines, line)
+        _neighbours(lines, line, marks=False)
         .filter(F.col("left").isNotNull())
         .groupBy(F.col("left.word").alias("word"))
         .agg(F.count("*").alias("n"))
