@@ -25,6 +25,41 @@ def test_trie_with_and_without_files():
     assert got == want and moved > 0
 
 
+def resident(trie):
+    """Bytes of the nodes in memory, counted anew."""
+    total, stack = 0, [trie.root]
+    while stack:
+        node = stack.pop()
+        total += len(node.label) + exact_dedup.NODE_BYTES
+        stack.extend(node.children.values())
+    return total
+
+
+def test_trie_of_distinct_lengths_stays_within_its_memory():
+    draw, most = random.Random(3), 1 << 20
+    trie = exact_dedup.Patricia(lambda a, b: a + b, most)
+    keys = [n.to_bytes(4, "big") + draw.randbytes(n) for n in (2000 + 3 * i for i in range(2500))] * 2
+    peak = 0
+    for i, key in enumerate(keys):
+        trie.insert(key, 1)
+        assert trie.size <= most + exact_dedup.NODE_BYTES
+        if i % 500 == 0:
+            peak = max(peak, resident(trie))
+            assert abs(resident(trie) - exact_dedup.NODE_BYTES - trie.size) < 1000
+    assert 0 < peak < 2 * most and trie.moved < 600
+    assert list(trie.owners()) == [2] * 2500
+
+
+def test_trie_of_one_long_beginning():
+    draw, most = random.Random(4), 1 << 16
+    start = draw.randbytes(most * 2)
+    keys = [start[: most + i] + draw.randbytes(40) for i in range(0, most, 600)] + [start]
+    trie = exact_dedup.Patricia(lambda a, b: a + b, most)
+    for key in keys * 3:
+        trie.insert(key, 1)
+    assert list(trie.owners()) == [3] * len(keys)
+
+
 def test_exact_groups(spark, odd_docs, no_docs):
     got = exact_dedup.exact_groups(odd_docs).collect()
     rows = [(r.doc_id, r.text or "") for r in odd_docs.collect()]
@@ -45,7 +80,8 @@ def test_hot_text_and_small_buffers(spark, monkeypatch):
     docs = spark.range(6000).selectExpr("id as doc_id", "if(id % 3 = 0, repeat('hot ', 50), concat('text ', id % 1500)) as text").repartition(7)
     docs.write.mode("overwrite").parquet(path := str(spark.conf.get("spark.sql.warehouse.dir")).removeprefix("file:") + "/hot_texts")
     docs = spark.read.parquet(path)
-    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(docs).collect()}
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(docs, heavy_rows=100).collect()}
+    assert len(got) == 6000
     hot = [i for i in range(6000) if i % 3 == 0]
     assert all(got[i] == (max(hot), len(hot), i == max(hot)) for i in hot)
     assert sum(k for _, _, k in got.values()) == 1 + len({i % 1500 for i in range(6000) if i % 3})

@@ -1,10 +1,11 @@
 """Exact duplicates by Patricia tries.
 
 Texts are dealt out by length and a hash of their content. A task inserts the full byte strings of its share into
-compressed radix tries, one for each length; the terminal node of a string stores its owner, so two texts are the same
+a compressed radix trie, below their length; the terminal node of a string stores its owner, so two texts are the same
 only if they are the same byte by byte. A task reads its rows in one go: before the shuffle, the texts of a task's input are
 inserted into tries in the same way, so that of a text with a million copies each task sends one, with how many it saw.
-A trie that outgrows its memory moves its largest subtree to a file of the task and finishes that afterwards.
+A trie that outgrows its memory moves its largest subtrees to files of the task and finishes them afterwards, one by one.
+The rows of a text with very many copies meet their owner in several tasks.
 """
 
 from __future__ import annotations
@@ -20,10 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_batches, first_row_number, whole_text
-from tidemark.session import size_of
+from tidemark.operators.skew import MIN_HEAVY_ROWS, skew_join
+from tidemark.session import materialise, size_of
 
 LOCAL_BYTES = 24 << 20  # texts that a task gathers before it sends what it has
-TRIE_BYTES = 48 << 20  # texts in a task's tries before a subtree goes to a file
+TRIE_BYTES = 48 << 20  # what a task's trie may take before subtrees go to files
+NODE_BYTES = 600  # what a node and its owner take besides the label
+LENGTH_BYTES = 4  # a text has less than 2 GB
 PART_BYTES = 32 << 20  # input bytes for which there is a part of the shuffle
 IDS_PER_ROW = 1000
 UNKNOWN_SIZE = 1 << 60  # what the planner estimates for rows that are not from files is no size
@@ -31,8 +35,8 @@ SMALLEST = -(1 << 63)
 
 
 class Node:
-    """``label`` leads here from the parent; ``owner`` is set where an inserted string ends; ``file`` where the rest of the
-    subtree has been moved out."""
+    """``label`` leads here from the parent; ``owner`` is set where an inserted string ends; ``file`` where what follows
+    the first byte of the label has been moved out."""
 
     __slots__ = ("label", "children", "owner", "file")
 
@@ -44,11 +48,16 @@ class Node:
 
 class Patricia:
     """Compressed radix trie of byte strings. ``insert`` combines the owners of equal strings; ``owners`` yields each
-    distinct string's owner once, in no particular order."""
+    distinct string's owner once, in no particular order, and leaves the trie empty.
+
+    ``size`` is what the nodes in memory take. Above ``most`` bytes whole subtrees, with the labels that lead to them, go to
+    files until half of it is free. What stays is the path that all strings share and one node a file.
+    """
 
     def __init__(self, combine, most: int = TRIE_BYTES, folder: str | None = None):
         self.root, self.combine, self.most, self.folder = Node(b""), combine, most, folder
         self.size = 0
+        self.limit = most
         self.moved = 0
 
     def insert(self, key: bytes, owner) -> None:
@@ -63,7 +72,7 @@ class Patricia:
             child = node.children.get(key[at])
             if child is None:
                 node.children[key[at]] = Node(key[at:], owner)
-                self.size += len(key) - at
+                self.size += len(key) - at + NODE_BYTES
                 break
             label = child.label
             if key.startswith(label, at):
@@ -75,8 +84,9 @@ class Patricia:
             child.label = label[shared:]
             upper.children[child.label[0]] = child
             node.children[key[at]] = upper
+            self.size += NODE_BYTES
             node, at = upper, at + shared
-        if self.size > self.most:
+        if self.size > self.limit:
             self._move_out()
 
     @staticmethod
@@ -89,36 +99,56 @@ class Patricia:
             stack.extend((c, prefix + c.label) for c in node.children.values())
 
     @staticmethod
-    def _weight(node: Node) -> int:
-        total, stack = 0, [node]
+    def _weight(node: Node) -> tuple[int, bool]:
+        """Bytes of a subtree, and whether parts of it are in files."""
+        total, parted, stack = 0, False, [node]
         while stack:
             node = stack.pop()
-            total += len(node.label)
+            total += len(node.label) + NODE_BYTES
+            parted = parted or node.file is not None
             stack.extend(node.children.values())
-        return total
+        return total, parted
 
     def _move_out(self) -> None:
-        """Write the largest subtree below the root to a file; later strings that lead into it are added there."""
-        resident = [c for c in self.root.children.values() if c.file is None]
-        if not resident:
-            return
-        child = max(resident, key=self._weight)
-        self.size -= self._weight(child) - len(child.label)
-        child.file = tempfile.TemporaryFile(dir=self.folder)
-        for key, owner in self._walk(child, b""):
-            pickle.dump((key, owner), child.file)
-        child.children, child.owner = {}, None
+        """Move the subtrees below the first fork to files, the largest first, until half the memory is free; if that is not
+        enough, go on in the one that is left, which has parts in files. Only subtrees below a fork are moved, so the strings
+        of a file are fewer than those of its trie. The next call comes when what is left has doubled, or ``most`` is reached."""
+        node = self.root
+        while self.size > self.most // 2:
+            inner = sorted(((*self._weight(c), c) for c in node.children.values() if c.file is None), key=lambda x: -x[0])
+            fork = len(node.children) > 1 or node.owner is not None
+            left = []
+            for weight, parted, child in inner:
+                if parted or not fork:
+                    left.append(child)
+                elif self.size > self.most // 2:
+                    self._to_file(child)
+                    self.size -= weight - NODE_BYTES - 1
+            if not left:
+                break
+            node = left[0]
+        self.limit = max(self.most, 2 * self.size)
+
+    def _to_file(self, node: Node) -> None:
+        node.file = tempfile.TemporaryFile(dir=self.folder)
+        for key, owner in self._walk(node, node.label[1:]):
+            pickle.dump((key, owner), node.file)
+        node.label, node.children, node.owner = node.label[:1], {}, None
         self.moved += 1
 
     def owners(self) -> Iterator[object]:
-        for _, owner in self._walk(self.root, b""):
-            yield owner
-        stack = [self.root]
+        files, stack = [], [self.root]
+        self.root, self.size = Node(b""), 0
         while stack:
             node = stack.pop()
+            if node.owner is not None:
+                yield node.owner
             if node.file is not None:
-                yield from self._reread(node.file)
+                files.append(node.file)
             stack.extend(node.children.values())
+        del node
+        for file in files:
+            yield from self._reread(file)
 
     def _reread(self, file) -> Iterator[object]:
         file.seek(0)
@@ -185,38 +215,34 @@ def _gather(a: tuple, b: tuple) -> tuple:
 
 GROUP_NAMES = ["n_bytes", "sha", "text", "top", "first", "n"]
 ID_NAMES = ["sha", "ids", "numbers"]
+OWNER_NAMES = ["sha", "top", "first", "n"]
 
 
 def _owners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Groups of one part -> one row per distinct text, from a trie for each length."""
-    tries: dict[int, Patricia] = {}
-    held = 0
+    """Groups of one part -> one row per distinct text, from one trie: the length comes before the text, so that texts of a
+    length are a subtree."""
+    trie = Patricia(_merge)
     for batch in batches:
         for length, sha, text, top, first, n in batch.itertuples(index=False, name=None):
-            trie = tries.get(length)
-            if trie is None:
-                trie = tries[length] = Patricia(_merge)
-            before = trie.size
-            trie.insert(bytes(text), (int(top), int(first), int(n), sha))
-            held += trie.size - before
-            if held > TRIE_BYTES:
-                largest = max(tries.values(), key=lambda t: t.size)
-                before = largest.size
-                largest._move_out()
-                held += largest.size - before
-    for trie in tries.values():
-        rows = [(sha, top, first, n) for top, first, n, sha in trie.owners()]
-        for at in range(0, len(rows), 10_000):
-            yield pd.DataFrame(rows[at : at + 10_000], columns=["sha", "top", "first", "n"])
-
-
-def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+            trie.insert(int(length).to_bytes(LENGTH_BYTES, "big") + bytes(text), (int(top), int(first), int(n), sha))
+    rows = []
+    for top, first, n, sha in trie.owners():
+        rows.append((sha, top, first, n))
+        if len(rows) == 10_000:
+            yield pd.DataFrame(rows, columns=OWNER_NAMES)
+            rows = []
+    if rows:
+        yield pd.DataFrame(rows, columns=OWNER_NAMES)
+
+
+def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", heavy_rows: int = MIN_HEAVY_ROWS) -> DataFrame:
     """One row per row of ``docs``: its id as ``doc_id``, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are identical; null counts as empty. Of equal texts the row with the largest id stays (null
     is smaller than any id), and of rows that also share the id exactly one: the first in the input's order. ``docs`` must
     read the same rows in the same order when read again (a table; not a plan with random order). The columns of
-    ``docs`` beside these two may have any name. An empty table gives no row.
+    ``docs`` beside these two may have any name. An empty table gives no row. A text with ``heavy_rows`` copies and more than
+    a partition's share of the rows is spread over tasks.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -226,7 +252,8 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES + 1 if size < UNKNOWN_SIZE else 0)
     owners = groups.repartition(parts, "n_bytes", "sha").mapInPandas(_owners, "sha string, top long, first long, n long")
     ids = rows.mapInPandas(_local_groups(False), "sha string, ids array<long>, numbers array<long>")
-    each = ids.join(owners, "sha").select("sha", "top", "first", "n", F.explode(F.arrays_zip("ids", "numbers")).alias("_r"))
+    owners = materialise(owners, "owners")
+    each = skew_join(ids, owners, ["sha"], weights=owners, weight="n", min_rows=heavy_rows).select("sha", "top", "first", "n", F.explode(F.arrays_zip("ids", "numbers")).alias("_r"))
     mine = F.col("_r.ids") == F.col("top")
     return each.select(
         _or_null(F.col("_r.ids")).alias("doc_id"),
