@@ -1,5 +1,6 @@
 """Toxicity, language, packing, sharding and page text."""
 
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -29,6 +30,38 @@ def test_folding_and_exceptions():
     assert lexicon.score("scum " + "fine words " * 2000)[0] < lexicon.score("scum")[0]
 
 
+def plain_matches(lexicon, text):
+    """Every entry looked for at every word, the words of exceptions left out."""
+    spared = {i for p in lexicon.exceptions for m in re.finditer(rf"(?<![^\W_])(?={re.escape(p)}(?![^\W_]))", text) for i in range(m.start(), m.start() + len(p))}
+    total, n = 0.0, 0
+    for m in re.finditer(r"[^\W_]+", text):
+        fits = [w for e, w in lexicon.weights.items() if (m[0].startswith(e[:-1]) if e.endswith("*") else m[0] == e)]
+        if fits and m.start() not in spared:
+            total, n = total + max(fits), n + 1
+    return total, n
+
+
+def test_matcher_as_plain_search(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("documents", "labels"))
+    lexicon = toxicity.learn_lexicon(toxicity.labelled_sample(docs, labels))
+    texts = [toxicity.fold(r.text) for r in docs.where("text is not null").collect()]
+    pairs = Counter(p for t in texts for p in toxicity.Lexicon(lexicon.weights).phrases(t))
+    lexicon = toxicity.Lexicon(lexicon.weights, sorted(pairs)[::2])
+    assert lexicon.weights and lexicon.exceptions
+    for text in texts:
+        total, n = lexicon.matches(text)
+        want, m = plain_matches(lexicon, text)
+        assert n == m and abs(total - want) < 1e-9
+
+
+def test_exceptions_are_learned(spark):
+    rows = [(f"you vile thing {i}", 1) for i in range(60)] + [(f"the vile river flows {i}", 0) for i in range(20)] + [(f"fine weather {i}", 0) for i in range(380)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert "vile" in lexicon.weights and "vile river" in lexicon.exceptions and "vile thing" not in lexicon.exceptions
+    assert lexicon.score("along the vile river")[1] == 0 and lexicon.score("a vile man")[1] == 1
+    assert toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"), ["vile man"]).exceptions == ["vile man"]
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     lexicon = toxicity.learn_lexicon(toxicity.labelled_sample(docs, labels.where(~held_out(F.col("doc_id")))))

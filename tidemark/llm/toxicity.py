@@ -5,8 +5,9 @@ letters inside a word. An entry is a word or, with ``*`` at its end, how words b
 counts, and none inside an exception phrase. The weights of the matches, set against the length of the text, give the
 score.
 
-The entries and their weights are learned from labelled rows: a weight is the log of how much likelier the entry is in
-toxic documents. The counts are a Spark aggregation; the driver sees only the words that make it into the lexicon.
+Entries, weights and exception phrases are learned from labelled rows: a weight is the log of how much likelier the entry is
+in toxic documents; an exception is an entry's word with the one before or after it, if the two stand together rather in
+documents that are not toxic. The counts are Spark aggregations; the driver sees only what makes it into the lexicon.
 """
 
 from __future__ import annotations
@@ -31,7 +32,6 @@ from tidemark.session import materialise
 SAMPLE_ROWS = 40_000
 MIN_DOCS = 3  # a word in fewer toxic documents says nothing
 MIN_WEIGHT = 1.5  # log of the odds; weaker words stay out
-LEXICON_SIZE = 5_000  # the strongest words; a bound on what is sent to the tasks
 SMOOTHING = 0.5
 #: An entry's share among toxic rows must exceed that among others by so many standard errors, beginnings by more.
 DIFFERENCE, DIFFERENCE_BEGINNING = 2.2, 4.0
@@ -47,9 +47,6 @@ ACCENTED = dict(
 DIGITS = dict(zip("0134578", "oieastb"))
 SIGNS = {"@": "a", "$": "s", "!": "i"}
 
-#: Harmless phrases that contain a lexicon word. Kept as text: callers may pass their own.
-EXCEPTIONS = ("clown fish", "clown nose", "circus clown", "trash can", "trash bin", "pond scum", "stupid mistake of mine", "sore loser board")
-
 _FULLWIDTH = {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)}
 _TABLE = str.maketrans(LOOKALIKES | ACCENTED | DIGITS | {k: v.lower() for k, v in _FULLWIDTH.items()} | {"​": "", "‍": "", "­": ""})
 _SIGN = re.compile(r"[@$!](?=[^\W\d_])")
@@ -69,7 +66,7 @@ class Lexicon:
     """Weights by folded word, exception phrases, and the logistic function of (bias, log of weight, log of density)."""
 
     weights: dict[str, float]
-    exceptions: Sequence[str] = EXCEPTIONS
+    exceptions: Sequence[str] = ()
     logistic: Sequence[float] = (-4.0, 2.0, 0.5)
     _automaton: object = field(default=None, repr=False, compare=False)
 
@@ -92,12 +89,12 @@ class Lexicon:
     def __getstate__(self):
         return self.__dict__ | {"_automaton": None}
 
-    def matches(self, text: str) -> tuple[float, int]:
-        """Summed weight and number of the lexicon words in a folded text, without those inside an exception phrase."""
+    def found(self, text: str) -> dict[int, float]:
+        """The heaviest match in a folded text by where its word starts, without those inside an exception phrase."""
         machine = self.automaton()
         if not len(machine):
-            return 0.0, 0
-        found: dict[int, float] = {}  # heaviest match by where the word starts
+            return {}
+        found: dict[int, float] = {}
         spared, size = [], len(text)
         for end, (length, whole, begins) in machine.iter(text):
             start = end + 1 - length
@@ -111,11 +108,28 @@ class Lexicon:
                 weight = max(whole or 0.0, begins or 0.0) if ends else begins
                 if weight and weight > found.get(start, 0.0):
                     found[start] = weight
-        for start, end in spared:
-            for at in [at for at in found if start <= at <= end]:
-                del found[at]
+        free = -1  # exceptions that overlap are gone through once
+        for start, end in sorted(spared):
+            for at in range(max(start, free), end + 1):
+                found.pop(at, None)
+            free = max(free, end + 1)
+        return found
+
+    def matches(self, text: str) -> tuple[float, int]:
+        """Summed weight and number of the lexicon words in a folded text, without those inside an exception phrase."""
+        found = self.found(text)
         return sum(found.values()), len(found)
 
+    def phrases(self, text: str) -> set[str]:
+        """Every matching word of a folded text, written together with the word before and with the word after it."""
+        found, seen = self.found(text), set()
+        if found:
+            words = [(m.start(), m[0]) for m in _WORD.finditer(text)]
+            for i, (at, word) in enumerate(words):
+                if at in found:
+                    seen.update(f"{a} {b}" for a, b in ((words[j][1], words[j + 1][1]) for j in (i - 1, i) if 0 <= j < len(words) - 1))
+        return seen
+
     def features(self, text: str) -> tuple[float, float, int]:
         """Log of the weight, log of the weight per thousand characters (plus one each), and the number of matches."""
         weight, n = self.matches(fold(text))
@@ -138,6 +152,13 @@ def scorer(lexicon: Lexicon) -> Callable[[Column], Column]:
     return scored
 
 
+def _count_rows(counts: tuple[Counter[str], Counter[str]]) -> Iterator[pd.DataFrame]:
+    """Counts of documents without and with the label, as rows (word, toxic, clean)."""
+    for toxic, found in enumerate(counts):
+        if found:
+            yield pd.DataFrame({"word": list(found), "toxic": list(found.values()) if toxic else 0, "clean": 0 if toxic else list(found.values())})
+
+
 def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Documents per entry and label, added up before they are shuffled."""
     for batch in batches:
@@ -148,8 +169,7 @@ def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 words = set(_WORD.findall(fold(text)))
                 counts[toxic].update(words)
                 counts[toxic].update({w[:n] + "*" for n in BEGINNINGS for w in words if len(w) >= n})
-            for toxic, found in enumerate(counts):
-                yield pd.DataFrame({"word": list(found), "toxic": list(found.values()) if toxic else 0, "clean": 0 if toxic else list(found.values())})
+            yield from _count_rows(counts)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -173,22 +193,45 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
     return w.tolist()
 
 
-def learn_lexicon(sample: DataFrame, exceptions: Sequence[str] = EXCEPTIONS, size: int = LEXICON_SIZE) -> Lexicon:
-    """Weights and score from a bounded sample (text, toxic): see ``labelled_sample``.
+def _phrase_counts(lexicon: Lexicon):
+    """Documents per phrase around a match and label, added up before they are shuffled."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            counts = Counter[str](), Counter[str]()
+            for text, toxic in zip(batch["text"], batch["toxic"]):
+                counts[toxic].update(lexicon.phrases(fold(text)))
+            yield from _count_rows(counts)
+
+    return counted
+
+
+def learn_exceptions(sample: DataFrame, lexicon: Lexicon, toxic: int, clean: int) -> list[str]:
+    """Phrases around the words of ``lexicon`` that are no likelier in the ``toxic`` rows of the sample than in its ``clean``
+    ones, and stand in ``MIN_DOCS`` of the latter: there the word means no harm. As many as the sample has."""
+    counts = sample.mapInPandas(_phrase_counts(lexicon), "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    in_toxic, in_clean = (F.col("t") + SMOOTHING) / (toxic + 1.0), (F.col("c") + SMOOTHING) / (clean + 1.0)
+    harmless = counts.where((F.col("c") >= MIN_DOCS) & (in_toxic <= in_clean))
+    return [r["word"] for r in harmless.select("word").orderBy("word").collect()]
+
+
+def learn_lexicon(sample: DataFrame, exceptions: Sequence[str] | None = None) -> Lexicon:
+    """Entries, weights, exceptions and score from a bounded sample (text, toxic): see ``labelled_sample``. Exceptions that
+    the caller gives take the place of learned ones.
 
     An empty sample, or one with a single class, gives an empty lexicon: every text then scores low.
     """
     classes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     toxic, clean = classes.get(1, 0), classes.get(0, 0)
     if not toxic or not clean:
-        return Lexicon({}, exceptions)
+        return Lexicon({}, exceptions or ())
     counts = sample.mapInPandas(_word_counts, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     in_toxic, in_clean = (F.col("t") + SMOOTHING) / (toxic + 1.0), (F.col("c") + SMOOTHING) / (clean + 1.0)
     error = F.sqrt(in_toxic / toxic + in_clean / clean)
     weight = F.log(in_toxic) - F.log(in_clean)
     strong = counts.select("word", weight.alias("w"), ((in_toxic - in_clean) / error).alias("z"), "t").where((F.col("t") >= MIN_DOCS) & (F.col("w") >= MIN_WEIGHT) & (F.col("z") >= F.when(F.col("word").endswith("*"), DIFFERENCE_BEGINNING).otherwise(DIFFERENCE)))
-    words = strong.orderBy(F.desc("z"), "word").limit(size).collect()
-    lexicon = Lexicon({r["word"]: float(r["w"]) for r in words}, exceptions)
+    lexicon = Lexicon({r["word"]: float(r["w"]) for r in strong.select("word", "w").orderBy("word").collect()})
+    lexicon = Lexicon(lexicon.weights, learn_exceptions(sample, lexicon, toxic, clean) if exceptions is None else exceptions)
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
