@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_dedup import brute_components
+from tidemark.session import materialise
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,3 +51,17 @@ def test_run(spark):
     pieces = corpus_pipeline.run(spark, SF)
     assert pieces.select("doc_id").distinct().count() > 100
     assert pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
+
+
+def test_stages_on_odd_rows(spark, odd_docs):
+    """Null ids, null and empty texts, repeated rows and further columns go through the first four stages as a chain."""
+    docs, kept = odd_docs, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialise(stage(spark, docs, SF), name)
+        assert docs.columns == odd_docs.columns
+        kept[name] = docs.collect()
+    given = odd_docs.collect()
+    assert len(kept["toxicity"]) <= len(given) and all(r in given for r in kept["toxicity"])
+    assert all(any(c.isalpha() for c in r.text or "") for r in kept["language"])
+    assert len(kept["exact_dedup"]) == len({r.text for r in kept["language"]})
+    assert {r.text for r in kept["ngram_jaccard"]} <= {r.text for r in kept["exact_dedup"]}
