@@ -21,7 +21,8 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score stays below the threshold."""
+    """Documents whose score stays below the threshold. A null text counts as empty; rows with null or repeated ids are judged
+    like all others. Without labels of both kinds nothing goes."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out(F.col("doc_id")))
     lexicon = toxicity.learn_lexicon(toxicity.labelled_sample(docs, labels))
     score = toxicity.scorer(lexicon)(F.coalesce("text", F.lit("")))["score"]
@@ -29,7 +30,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those without a letter go, and those for which two languages are as good as even."""
+    """Documents with a language: those without a letter go (a null text has none), and those for which two languages are as
+    good as even. Rows with null or repeated ids are judged like all others; no documents give none."""
     sample = language_id.labelled_sample(docs.where(~held_out(F.col("doc_id"))))
     found = language_id.predictor(language_id.learn_languages(sample))(F.coalesce("text", F.lit("")))
     return docs.where(~found["ambiguous"])
