@@ -1,6 +1,8 @@
 import random
 from collections import defaultdict
 
+import numpy as np
+
 from tests.llm.conftest import words
 from tidemark.llm import exact_dedup, jaccard_join
 from tidemark.llm.common import components
@@ -137,6 +139,37 @@ def test_near_duplicates_as_brute_force(spark, tmp_path):
         assert sum(r.kept for r in got) == groups
 
 
+def test_one_boilerplate_in_all_texts(spark, tmp_path):
+    """Sets that share most of what they have, some of them enough for a link: only kinds that can be linked are paired."""
+    draw = random.Random(11)
+    shared, sets = [draw.getrandbits(62) for _ in range(120)], []
+    for _ in range(400):
+        own = [draw.getrandbits(62) for _ in range(draw.randint(18, 60))]
+        sets.append(set(shared) | set(own))
+        for _ in range(draw.choice([0, 0, 0, 1, 2])):  # a few copies with some of their own part changed
+            kept = own[draw.randint(0, 30) :] + [draw.getrandbits(62) for _ in range(draw.randint(0, 9))]
+            sets.append(set(shared) | set(kept))
+    data = [(i, len(x), bytearray(np.array(sorted(x), np.int64).tobytes())) for i, x in enumerate(sets)]
+    spark.createDataFrame(data, "node long, n long, grams binary").repartition(4).write.parquet(path := f"{tmp_path}/sets")
+    found = {r.node: r.component for r in components(jaccard_join.linked_classes(spark.read.parquet(path), 85)).collect()}
+    parent = list(range(len(sets)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 100 * len(a & b) >= 85 * len(a | b):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    want = [find(i) for i in range(len(sets))]
+    assert [found.get(i, i) for i in range(len(sets))] == want and 10 < len(set(want)) < len(sets)
+    open_rows = [(1, i % 2, i, (100 + i % 3, 2, i % 5, True)) for i in range(3000)]
+    rows = spark.createDataFrame(open_rows, "gram long, part long, node long, kind struct<n:long,place:long,own:long,to_late:boolean>")
+    assert jaccard_join._kinds(rows.selectExpr("*", "0L as main"), 85).count() <= 15 * 15
+
+
 def test_near_duplicates_of_odd_rows(spark, odd_docs, no_docs):
     got = jaccard_join.near_duplicates(odd_docs).collect()
     want, groups = brute_components([(r.doc_id, r.text) for r in odd_docs.collect()], jaccard_join.WORDS, jaccard_join.PERCENT)

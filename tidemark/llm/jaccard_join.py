@@ -226,6 +226,20 @@ def _neighbour(rows: DataFrame) -> DataFrame:
     return rows.withColumn("y", F.lag("x").over(by_size)).where("y is not null")
 
 
+def _kinds(rows: DataFrame, percent: int) -> DataFrame:
+    """(gram, kx, ky): kinds of rows of an n-gram whose texts can be linked. Texts of a kind have the same bounds, so these
+    are checked once for two kinds and not for each two texts; only sizes that may match meet."""
+    scale = F.floor(F.log(F.col("kind.n")) / float(np.log(100 / percent))) if 0 < percent < 100 else F.col("kind.n")
+    kinds = rows.groupBy("gram", "kind").agg(F.bool_or(F.col("part") != F.col("main")).alias("open"))
+    kinds = materialise(kinds.withColumn("scale", scale.cast("long")), "kinds")
+    # sizes that match are at most one step apart; one more allows for rounding at the edge of a step
+    spread = [F.lit(d) for d in range(-2, 3)] if 0 < percent < 100 else [F.lit(0)]
+    x = kinds.where("open").select("gram", F.col("kind").alias("kx"), F.explode(F.array(*spread)).alias("step"), "scale")
+    x = x.select("gram", "kx", (F.col("scale") + F.col("step")).alias("scale"))
+    y = kinds.select("gram", F.col("kind").alias("ky"), "scale")
+    return x.join(y, ["gram", "scale"]).where(_possible(percent, "kx", "ky")).select("gram", "kx", "ky")
+
+
 def linked_classes(sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between the sets (node, n, grams; a table) that connect what is linked: a link that is left out joins two
     sets which the others already connect."""
@@ -259,10 +273,11 @@ def linked_classes(sets: DataFrame, percent: int) -> DataFrame:
     rows = materialise(_with_part(meets, links), "parts")
     parts = rows.groupBy("gram", "part").agg(F.count("*").alias("rows"))
     mixed = parts.groupBy("gram").agg(F.max(F.struct("rows", "part"))["part"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_rows = rows.join(mixed.select("gram", "main"), "gram")
-    every = open_rows.select("gram", "main", row.alias("y"))
-    others = open_rows.where("part <> main").select("gram", row.alias("x"))
-    met = others.join(every, "gram").where((F.col("x.part") != F.col("y.part")) & _possible(percent, "x", "y"))
+    open_rows = rows.join(mixed.select("gram", "main"), "gram").withColumn("kind", F.struct("n", "place", "own", "to_late"))
+    open_rows = materialise(open_rows.select("gram", "main", "part", "node", "kind"), "open")
+    others = open_rows.where("part <> main").select("gram", F.struct("node", "part").alias("x"), F.col("kind").alias("kx"))
+    every = open_rows.select("gram", "main", F.struct("node", "part").alias("y"), F.col("kind").alias("ky"))
+    met = others.join(_kinds(open_rows, percent), ["gram", "kx"]).join(every, ["gram", "ky"]).where("x.part <> y.part")
     met = met.where((F.col("y.part") == F.col("main")) | (F.col("x.node") > F.col("y.node")))
     pairs = met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
     return materialise(links.union(_links(pairs, sets, percent, "rest")), "links")
