@@ -140,24 +140,25 @@ class Index:
         corpus = corpus or Corpus.of(docs)
         self.n, self.ids = len(docs), docs
         lengths = np.array([len(d) for d in docs])
-        tokens = np.concatenate(docs)
-        owner = np.repeat(np.arange(self.n, dtype=np.int32), lengths)
-        order = np.argsort(tokens.astype(np.uint16) if tokens.max() < 1 << 16 else tokens, kind="stable")
-        tokens, owner = tokens[order], owner[order]
-        del order
-        begins = np.ones(len(tokens), bool)  # of each (term, document)
-        np.not_equal(tokens[1:], tokens[:-1], out=begins[1:])
-        ends_term = np.flatnonzero(begins)
-        begins[1:] |= owner[1:] != owner[:-1]
+        both = np.concatenate(docs).astype(np.int64)  # token and document in one number, sorted in place
+        both <<= 32
+        both |= np.repeat(np.arange(self.n, dtype=np.int32), lengths)
+        both.sort()
+        begins = np.ones(len(both), bool)  # of each (term, document)
+        np.not_equal(both[1:], both[:-1], out=begins[1:])
         postings = np.flatnonzero(begins)
-        times = np.diff(np.append(postings, len(tokens)))
-        self.docs, self.terms = owner[postings], tokens[ends_term]
-        self.first = np.searchsorted(postings, ends_term)
-        self.last = np.append(self.first[1:], len(postings))
+        times = np.diff(np.append(postings, len(both))).astype(np.float32)
+        both = both[postings]
+        del begins, postings
+        self.docs = (both & 0xFFFFFFFF).astype(np.int32)
+        both >>= 32
+        self.first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+        self.last = np.append(self.first[1:], len(both))
+        self.terms = both[self.first].astype("<u4")
+        del both
         norm = K1 * (1 - B + B * lengths / max(corpus.mean, 1.0))
         idf = corpus.idf(self.terms)
         self.strong = idf > 0
-        times = times.astype(np.float32)
         self.weights = np.repeat(idf.astype(np.float32), self.last - self.first)
         self.weights *= times * np.float32(K1 + 1) / (times + norm[self.docs].astype(np.float32))
 
