@@ -148,6 +148,21 @@ def test_ranges_of_any_size_give_the_same_rows(tmp_path, name):
         assert split_locally(f"file:{path}", split_bytes) == want, split_bytes
 
 
+def test_rounds_do_not_grow_with_the_ranges(tmp_path):
+    """Every page holds a record, so that most ranges are first traced from a wrong place."""
+    path = tmp_path / "a.warc"
+    path.write_bytes(b"".join(record(f"u{i}", bytes(97) * (i % 7) + record("inside", b"old") + bytes(100 * (i % 2))) for i in range(300)))
+    listing = pd.DataFrame({"number": [0], "uri": [f"file:{path}"]})
+    traced = pd.concat(archives._trace(archives._cut(700)(iter([listing]))))
+    rounds = 0
+    while len(wrong := (chained := archives._chained(traced))[~chained.right.astype(bool)]):
+        rounds += 1
+        traced = pd.concat([traced[~traced.end.isin(wrong.end)], *archives._trace(iter([wrong.drop(columns="right")]))])
+    assert rounds <= 3 and len(chained) > 100
+    got = [row for r in chained.itertuples() for row in archives._archive_rows(f"file:{path}", r.start, r.end)]
+    assert got == list(archives._archive_rows(f"file:{path}"))
+
+
 def test_split_archives_in_tasks(spark, manifest):
     listing = manifest(*odd_archives().values(), extra=["file:/nowhere", "s3:/bad", "nowhere://x"])
     assert everything(archives.scan_archives(listing, 2000)) == everything(archives.scan_archives(listing))

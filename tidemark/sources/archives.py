@@ -297,17 +297,22 @@ def _likely_start(raw, start: int, end: int) -> int | None:
 
 def _traced(uri: str, start: int, end: int, known: bool) -> tuple[int, int]:
     """(first, next) of a range: where its first record begins, and where the first record after it does; -1 for a range
-    without a likely start, or one that cannot be read to its end."""
-    with _open(uri) as raw:
-        first = start if known else _likely_start(raw, start, end)
-        if first is None:
-            return -1, -1
-        try:
-            for place, _, _ in _blocks(raw, first, end):
-                pass
-            return first, place
-        except Exception:  # the scan of this range gives the failure
-            return first, -1
+    without a likely start, or one that cannot be read to its end. Reading from a likely start that breaks off goes on at the
+    next one, for what looked like a record was part of a page."""
+    reached = start - 1
+    while True:
+        with _open(uri) as raw:
+            first = start if known else _likely_start(raw, reached + 1, end)
+            if first is None:
+                return -1, -1
+            reached = first
+            try:
+                for place, _, _ in _blocks(raw, first, end):
+                    reached = reached if place is None else place
+                return first, reached
+            except Exception:  # the scan of this range gives the failure
+                if known:
+                    return first, -1
 
 
 def _trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -339,18 +344,23 @@ def _cut(split_bytes: int):
 
 def _chained(ranges: pd.DataFrame) -> pd.DataFrame:
     """The ranges of one archive -> those with records, from where to where. A range is right if it begins where the one
-    before it says that the next record is; the first that is not is to be traced again from there (``known``)."""
-    rows, at = [], 0
+    before it says that the next record is, and all before it are right. One that begins elsewhere is to be traced again from
+    there (``known``); so are later ones, from where the trace so far says that they begin: reading that begins in a wrong
+    place mostly comes upon the right records soon, so that what it says of its end holds."""
+    rows, at, sure = [], 0, True
     for number, uri, start, end, first, next_ in ranges.sort_values("start")[["number", "uri", "start", "end", "first", "next"]].itertuples(index=False):
-        if at >= end:
+        if at is None and first >= 0:
+            at = first  # what was before it is unknown, so it stays as it is
+        if at is None or at >= end:
             continue  # the record before it goes on beyond this range
         if first != at:
             rows.append((number, uri, at, end, True, False))
-            break
-        rows.append((number, uri, at, end, True, True))
-        if next_ < 0:
-            break  # damaged: nothing after it is read
-        at = next_
+            sure = False
+        elif sure:
+            rows.append((number, uri, at, end, True, True))
+            if next_ < 0:
+                break  # damaged: nothing after it is read
+        at = next_ if next_ >= 0 else None
     return pd.DataFrame(rows, columns=["number", "uri", "start", "end", "known", "right"])
 
 
@@ -360,8 +370,9 @@ def archive_ranges(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataF
 
     A packed archive does not say where its members begin, and what looks like the start of one can be part of a page. So all
     ranges are traced at once, each from its first likely start, to the first record after it. The first range begins where
-    the archive does; a range is right if it begins where the one before it ends. One that is not is traced again from the
-    right place, until all are right. A range begins only with a record that begins a member; an archive of one member
+    the archive does; a range is right if it begins where the one before it ends. Those that are not are traced again, all at
+    once, from where the one before them ends by the last trace, until all are right: mostly a few rounds, whatever the number
+    of ranges. A range begins only with a record that begins a member; an archive of one member
     stays in one range. After damage nothing is read, as by ``scan_archives``. An address that occurs twice is read twice.
     """
     numbered = materialise(manifest.select("uri").withColumn("number", F.monotonically_increasing_id()), "manifest")
