@@ -121,3 +121,14 @@ def test_distance_is_that_of_the_frequency_vectors(spark):
     full = {k: sum((v.get(t, 0) - text.get(t, 0)) ** 2 for t in v | text) for k, v in vectors.items()}
     assert got.detected == min(full, key=full.get)
     assert abs(got.distance + sum(p * p for p in text.values()) - full[got.detected]) < 1e-12
+
+
+def test_words_are_counted_before_they_are_cut(spark):
+    """No aggregate holds the trigrams of each text: only those of distinct words are spread."""
+    texts = spark.createDataFrame([("en", "the this the")], "lang string, text string")
+    plan = language.lang_profiles(texts, "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [lang#" in plan and ", word#" in plan.split("Generate explode(transform")[1]
+    posts = spark.createDataFrame([(1, "the this")], "id long, text string")
+    found = language.detect_lang(posts, "id", "text", language.prepare_profiles(language.lang_profiles(texts, "text")))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate [" in line and "trigram#" in line.split("]")[0]]
