@@ -29,6 +29,12 @@ def test_pairs_stop_at_the_shorter_file(spark, tmp_path):
     assert got == [(i, f"@r{i}/1", f"AC{i}", f"@r{i}/2") for i in range(5)]
 
 
+def test_neighbouring_reads_are_shuffled_together(spark, tmp_path):
+    plan = fastq.read_fastq_pair(spark, *write_pair(tmp_path, 5, 5))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_block" in plan and "hashpartitioning(read" not in plan and "ObjectHashAggregate" not in plan
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan  # lines get their numbers without a shuffle
+
+
 def test_chunks(spark, tmp_path):
     chunks = fastq.fastq_chunks(fastq.read_fastq_pair(spark, *write_pair(tmp_path, 5, 5)), reads_per_chunk=2)
     assert [r.chunk for r in chunks.orderBy("read").collect()] == [1, 1, 2, 2, 3]

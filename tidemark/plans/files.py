@@ -35,7 +35,7 @@ def vcf_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the chunk folders one after the other."""
     path = scratch_path(spark, "chunk-lines")
-    fastq.write_fastq_chunks(streams.fastq_chunks(spark, sf_dir), path)
+    fastq.write_fastq_chunks(streams.fastq_chunks(spark, sf_dir), path, "gzip")
     return read_numbered_lines(spark, path)
 
 

@@ -35,7 +35,7 @@ def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(value, line_no): lines with their number from 0, files in order of their paths, numbers in them by value.
 
     Every split of a file numbers its own lines; a first pass over the splits counts them, and the running sum of
-    those counts (one row per split, so one per 128 MB of text) is where each split starts.
+    those counts (one row per split, so one per 128 MB of text) is where each split starts. The lines are not shuffled.
     """
     lines = spark.read.text(path).select(
         "value",
@@ -46,4 +46,4 @@ def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     splits = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("lines"))
     before = Window.orderBy(_by_number(), "file", "block").rowsBetween(Window.unboundedPreceding, -1)
     starts = splits.select("file", "block", (F.coalesce(F.sum("lines").over(before), F.lit(0)) - F.col("first")).alias("shift"))
-    return lines.join(starts, ["file", "block"]).select("value", (F.col("at") + F.col("shift")).alias("line_no"))
+    return lines.join(F.broadcast(starts), ["file", "block"]).select("value", (F.col("at") + F.col("shift")).alias("line_no"))
