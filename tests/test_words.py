@@ -54,3 +54,11 @@ def test_report_keeps_words_without_visible_predecessor(spark, tmp_path):
 def test_report_leaves_commas_and_brackets_inside_words(spark):
     report = words.word_freq_report(lines_of(spark, "a b(c,d)e"))
     assert "b(c,d)e:1" in [r.line for r in report.collect()]
+
+
+def test_plain_tokens_are_judged_by_one_search(spark):
+    lines = lines_of(spark, "ab\r c\u00e9 d'e f.")
+    plan = words.bigrams(lines)._jdf.queryExecution().analyzed().toString()
+    assert r"^[a-zA-Z]+\z" in plan and plan.index(r"^[a-zA-Z]+\z") < plan.index("regexp_replace")
+    got = rows(words.bigrams(lines).select("second", "second_starts", "second_ends").filter("second is not null"))
+    assert got == [("ab", False, False), ("c", False, True), ("d'e", False, False), ("f", False, True)]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 # the token are trimmed before, so they are no marks).
 NON_LETTER_EDGES = r"^[^a-zA-Z]*|[^a-zA-Z]*$"
 LETTER = r"[a-zA-Z]"
+LETTERS = r"^[a-zA-Z]+\z"
 MARK_AT_START = r"^[\x00-\x20]*[^a-zA-Z\x00-\x20]"
 MARK_AT_END = r"[^a-zA-Z\x00-\x20][\x00-\x20]*$"
 
@@ -33,6 +34,11 @@ def has_letter(token: Column | str) -> Column:
     return F.rlike(token, F.lit(LETTER))
 
 
+def only_letters(token: Column | str) -> Column:
+    """Whether ``strip_edges`` leaves all of it and neither edge is marked."""
+    return F.rlike(token, F.lit(LETTERS))
+
+
 def starts_with_mark(token: Column | str) -> Column:
     return F.rlike(token, F.lit(MARK_AT_START))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.words import ends_with_mark, has_letter, starts_with_mark, strip_edges, tokens
+from tidemark.functions.words import ends_with_mark, has_letter, only_letters, starts_with_mark, strip_edges, tokens
 from tidemark.operators.skew import skew_join
 
 
@@ -20,7 +20,11 @@ def _neighbours(lines: DataFrame, line: str = "value", marks: bool = True) -> Da
 
     def judged(token: Column) -> Column:
         edges = [starts_with_mark(token).alias("starts"), ends_with_mark(token).alias("ends")] if marks else []
-        return F.struct(strip_edges(token).alias("word"), *edges, has_letter(token).alias("valid"))
+        whole = [F.lit(False).alias("starts"), F.lit(False).alias("ends")] if marks else []
+        # most tokens are letters only: one search says all about them
+        return F.when(only_letters(token), F.struct(token.alias("word"), *whole, F.lit(True).alias("valid"))).otherwise(
+            F.struct(strip_edges(token).alias("word"), *edges, has_letter(token).alias("valid"))
+        )
 
     each = lines.select(F.transform(tokens(F.lower(line)), judged).alias("t"))
     edge = F.lit(None).cast(each.schema["t"].dataType.elementType)
