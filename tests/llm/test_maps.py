@@ -178,6 +178,47 @@ def test_ids_are_the_tokenizers(text):
     assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == want
 
 
+def test_texts_are_parted_together_as_the_tokenizer_parts_them():
+    draw = np.random.default_rng(6)
+    signs = [chr(c) for c in range(33, 127)] + list("ÀÉßéÿ") + [" ", "\n", "\t ", "'s", "'LL", "'ve", "''", "n't", "the", "9.", "...", "\x00", "\x7f"]
+    texts = ["", "a" * 70, "'", "x'r", *["".join(draw.choice(signs, draw.integers(1, 40))) for _ in range(3000)]]
+    texts = [t for t in texts if packing._plain(t)]
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+"
+    want = [part.encode("latin-1") for t in texts for part in [*re.findall(pattern, t.lower()), "\x1c"]]
+    assert packing.text_parts(texts).to_pylist() == want
+    library = Tokenizer.from_file(WORDS)
+    with open(WORDS, encoding="utf-8") as file:
+        encoder = packing.Encoder(file.read(), "<u2")
+    coded = [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(texts)]
+    assert coded == [e.ids + [packing.END_ID] for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_a_part_goes_to_the_model_once():
+    with open(WORDS, encoding="utf-8") as file:
+        encoder = packing.Encoder(file.read())
+    given, model = [], encoder._model
+
+    class Counting:
+        def tokenize(self, part):
+            given.append(part)
+            return model.tokenize(part)
+
+    encoder._model, encoder._tokenizer = Counting(), None  # no plain text is parted by the library
+    first = encoder.encode(["Some words, some more.", "more words"] * 50)
+    assert sorted(given) == [",", ".", "more", "some", "words"]
+    assert encoder.encode(["words more", "Some words, some more."])[1] == first[0] and len(given) == 5
+
+
+def test_key_is_the_rarest_shared_tokens():
+    draw = np.random.default_rng(7)
+    docs = [np.minimum(draw.zipf(1.3, draw.integers(1, 60)), 49_000).astype("<u2") for _ in range(400)]
+    df = Counter(t for d in docs for t in set(d.tolist()))
+    corpus = packing.Corpus.of(docs)
+    for d in docs:
+        rarest = sorted({t for t in d.tolist() if df[t] > 1}, key=lambda t: (df[t], t))[: packing.KEY_TERMS]
+        assert corpus.key(d) == np.array(rarest, ">u4").tobytes()
+
+
 def test_neighbours_share_rare_terms():
     docs = [np.array(x, "<u4") for x in ([1, 2, 3, 90, 91], [1, 7], [4, 90, 91], [1, 5], [6])]
     index = packing.Index(docs)
