@@ -104,3 +104,29 @@ def test_batches_leave_nothing_behind(spark, tmp_path):
     trends.write_trends_stream(growth, str(out), str(state), report, availableNow=True).awaitTermination()
     assert len(seen) >= 20 and len(set(seen)) == 1
     assert spark.read.parquet(str(out)).count() > 0
+
+
+def test_state_partitions_follow_the_posts_and_the_state_is_on_disk(spark, tmp_path, monkeypatch):
+    """Twelve partitions where the session has eight; results are those of a session's own store, and the session keeps its settings."""
+    monkeypatch.setattr(trends, "ROWS_PER_PARTITION", 5)
+    assert trends.state_partitions(spark, 58) == 12 and trends.state_partitions(spark, 0) == 8
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    posts = [{"id": i % 7, "user": "u", "rt": i, "text": f"#t{i % 3}", "ts": f"2024-01-01T00:00:{i:02}Z"} for i in range(58)]
+    (inbox / "1.json").write_text("\n".join(map(json.dumps, posts)))
+    names = [trends.PARTITIONS, trends.STATE_STORE, "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage"]
+    before = [spark.conf.get(name, None) for name in names]
+
+    def run(name, partitions):
+        stream = trends.read_posts_stream(spark, str(inbox), "id long, user string, rt long, text string, ts timestamp")
+        growth = trends.retweet_growth_stream(stream, 4, 2, 2)
+        out, state = tmp_path / f"{name}-out", tmp_path / f"{name}-state"
+        trends.write_trends_stream(growth, str(out), str(state), partitions=partitions, availableNow=True).awaitTermination()
+        folders = [p for p in (state / "state" / "0").iterdir() if p.name.isdigit()]
+        return len(folders), (state / "offsets" / "0").read_text(), sorted(rows(spark.read.parquet(str(out)).drop("batch")))
+
+    count, offsets, found = run("disk", trends.state_partitions(spark, 58))
+    assert count == 12 and "RocksDBStateStoreProvider" in offsets
+    assert [spark.conf.get(name, None) for name in names] == before
+    own = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    assert found and found == run("memory", None)[2] and own not in offsets
