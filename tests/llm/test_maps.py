@@ -209,6 +209,50 @@ def test_a_part_goes_to_the_model_once():
     assert encoder.encode(["words more", "Some words, some more."])[1] == first[0] and len(given) == 5
 
 
+def test_parts_are_remembered_from_task_to_task_and_the_latest_when_there_are_too_many(monkeypatch):
+    with open(WORDS, encoding="utf-8") as file:
+        tokenizer = file.read()
+    encoder = packing._encoder(tokenizer, "<u2")
+    first = encoder.encode(["some words"])
+    assert packing._encoder("".join(tokenizer), "<u2") is encoder and {b"some", b"words"} <= set(encoder._known)
+    monkeypatch.setattr(packing, "CACHED_WORDS", 6)
+    encoder._known.clear()
+    for text in ("some words", "one two three", "some other"):
+        encoder.encode([text])
+    assert set(encoder._known) == {b"some", b"other", b"\x1c"}
+    assert encoder.encode(["some words"]) == first
+
+
+def test_a_window_takes_the_best_neighbours_that_fit():
+    """Against a plain version that sorts all neighbours, on shards of many sizes, with repeated documents and ties."""
+    draw = np.random.default_rng(8)
+    for n in (1, 2, 40, 120):
+        docs = [np.minimum(draw.zipf(1.4, draw.integers(1, 50)), 900).astype("<u2") for _ in range(n)]
+        docs += docs[: n // 3]
+        corpus, used = packing.Corpus.of(docs), np.zeros(len(docs), bool)
+        index = packing.Index(docs, corpus)
+        sequences = packing.pack_shard(docs, 64, corpus)
+        taken, rest = Counter(), [len(d) for d in docs]
+        for sequence in sequences:
+            if sum(p[2] for p in sequence) < 64:
+                break  # the end of the shard
+            used[[d for d, r in enumerate(rest) if not r]] = True
+            used[sequence[0][0]] = True
+            near, room, want = index.neighbours(sequence[0][0], used).tolist(), 64 - sequence[0][2], []
+            for d in near:
+                if rest[d] <= room:
+                    want.append((d, taken[d], rest[d]))
+                    room -= rest[d]
+            cut = [d for d in near if d not in {w[0] for w in want}]
+            if room and cut:
+                want.append((cut[0], taken[cut[0]], room))
+            if near:
+                assert sequence[1 : 1 + len(want)] == want
+            for d, _, length in sequence:
+                taken[d] += length
+                rest[d] -= length
+
+
 def test_key_is_the_rarest_shared_tokens():
     draw = np.random.default_rng(7)
     docs = [np.minimum(draw.zipf(1.3, draw.integers(1, 60)), 49_000).astype("<u2") for _ in range(400)]
