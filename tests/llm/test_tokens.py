@@ -75,3 +75,46 @@ def test_decode(spark, library):
     rows = spark.createDataFrame([(i, library.encode(t)) for i, t in enumerate(texts)] + [(99, [])], "k int, ids array<int>")
     got = {r.k: r.decoded for r in lattice.decode_ids(rows, MODEL, "k").collect()}
     assert got == {i: " " + t for i, t in enumerate(texts)} | {99: ""}
+
+
+def test_encoding_moves_and_writes_nothing(odd_docs):
+    """Every occurrence of a word went through two shuffles, and the words' ids through two written tables."""
+    coded = lattice.encode(odd_docs, MODEL)
+    plan = coded._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "FileScan" not in plan
+
+
+def made_texts(draw, n):
+    syllables = ["the", "er", "Un", "ing", "é", "ß", "日本", "\U0001f600", "12", "&&", "\n", "\n\n", " ", "  ", "▁", "\x00", "\t", "tion"]
+    return ["".join(draw.choice(syllables) for _ in range(draw.randint(0, 60))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("known, together", [(lattice.KNOWN_WORDS, lattice.TOGETHER), (20, 40), (0, 1)])
+def test_words_of_many_texts_are_encoded_together_as_the_library(monkeypatch, library, known, together):
+    monkeypatch.setattr(lattice, "KNOWN_WORDS", known)
+    monkeypatch.setattr(lattice, "TOGETHER", together)
+    encoder, texts = lattice.Encoder(MODEL, "merges"), made_texts(random.Random(7), 300) + ODD
+    for at in range(0, len(texts), 50):
+        ids, right = encoder.encode(texts[at : at + 50])
+        assert ids.to_pylist() == [library.encode(t) for t in texts[at : at + 50]]
+        assert all(right.to_pylist())
+    assert all(len(w) <= lattice.LONGEST_WORD for w in encoder.known)
+
+
+def test_edges_are_the_substrings_that_are_pieces():
+    walked, scores = lattice.Lattice(MODEL), tokens.PieceModel(MODEL).scores
+    words = ["▁the", "ing", "\n", "▁日本x", "\u0100", "tion"]
+    text = "\0" + "\0".join(words) + "\0"  # no piece has this character
+    edges = walked.edges(walked.codes[[ord(c) for c in text]])
+    got = {(int(s), int(n)): int(edges[s, n]) for s, n in zip(*np.nonzero(edges >= 0))}
+    ids = tokens.PieceModel(MODEL).ids
+    assert got == {(s, n): ids[text[s : s + n]] for s in range(len(text)) for n in range(1, walked.longest + 1) if text[s : s + n] in scores and s + n <= len(text)}
+
+
+def test_ids_that_decode_to_another_word_are_told():
+    encoder = lattice.Encoder(MODEL, "merges")
+    the = encoder.lattice.model.ids["▁the"]
+    pieces = encoder.lattice.bytes_of.to_pylist()
+    encoder.lattice.bytes_of = lattice.pa.array([b" tha" if i == the else p for i, p in enumerate(pieces)], lattice.pa.binary())
+    for _ in range(2):  # learned, then remembered
+        assert encoder.encode(["the", "a the b", "thethe", "a b", ""])[1].to_pylist() == [False, False, False, True, True]
