@@ -1,6 +1,8 @@
 import json
 import os
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tests.helpers import rows
@@ -130,3 +132,38 @@ def test_state_partitions_follow_the_posts_and_the_state_is_on_disk(spark, tmp_p
     assert [spark.conf.get(name, None) for name in names] == before
     own = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
     assert found and found == run("memory", None)[2] and own not in offsets
+
+
+def test_report_reads_files_and_not_the_state(spark, tmp_path):
+    """A task of the report has no store in its lineage, as each would send the metrics of all partitions to the driver. The
+    files are there while the report runs, nothing is cached, and they go with the batch, also if it fails."""
+    scratch = session._run_folder(spark).removeprefix("file:")
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    posts = [{"id": i % 7, "user": "u", "rt": i, "text": f"#t{i % 3}", "ts": f"2024-01-01T00:00:{i:02}Z"} for i in range(58)]
+    (inbox / "1.json").write_text("\n".join(map(json.dumps, posts)))
+    before, cached, seen = set(os.listdir(scratch)), spark.sparkContext._jsc.getPersistentRDDs().size(), []
+
+    def report(tagged):
+        lineage = tagged._jdf.queryExecution().toRdd().toDebugString()
+        seen.append(("StateStore" in lineage, all(f.startswith("file:") for f in tagged.inputFiles()) and len(tagged.inputFiles()) > 0))
+        seen[-1] += (len(set(os.listdir(scratch)) - before), spark.sparkContext._jsc.getPersistentRDDs().size() - cached)
+        return trends.trend_of_tags(tagged)
+
+    def fails(tagged):
+        seen.append(None)
+        raise ValueError("no report")
+
+    def run(name, what):
+        stream = trends.read_posts_stream(spark, str(inbox), "id long, user string, rt long, text string, ts timestamp")
+        growth = trends.retweet_growth_stream(stream, 4, 2, 2)
+        query = trends.write_trends_stream(growth, str(tmp_path / f"{name}-out"), str(tmp_path / f"{name}-state"), what, availableNow=True)
+        query.awaitTermination()
+
+    run("whole", report)
+    assert len(seen) >= 2 and set(seen) == {(False, True, 1, 0)}
+    assert set(os.listdir(scratch)) == before
+    assert spark.read.parquet(str(tmp_path / "whole-out")).count() > 0
+    with pytest.raises(StreamingQueryException):
+        run("broken", fails)
+    assert seen[-1] is None and set(os.listdir(scratch)) == before
