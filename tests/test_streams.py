@@ -167,3 +167,13 @@ def test_report_reads_files_and_not_the_state(spark, tmp_path):
     with pytest.raises(StreamingQueryException):
         run("broken", fails)
     assert seen[-1] is None and set(os.listdir(scratch)) == before
+
+
+def test_state_partitions_follow_the_posts_where_the_session_has_many(spark):
+    """Every task of a stateful stage sends the driver a metric for every partition."""
+    before = spark.conf.get(trends.PARTITIONS)
+    spark.conf.set(trends.PARTITIONS, "5000")
+    try:
+        assert [trends.state_partitions(spark, rows) for rows in (0, 1_000_000, 36_000_000)] == [200, 200, 360]
+    finally:
+        spark.conf.set(trends.PARTITIONS, before)
